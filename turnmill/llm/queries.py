@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, mixing, pii, quality, suffixes, tokens, toxicity, urls
+from . import decontaminate, html, jaccard, mixing, pii, quality, suffixes, tokens, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_urls, op2_decontaminate, op3_quality, op4_tokens, op5_html, op7_mixing, op8_repeats, op9_pii, op10_toxicity)}
+    return {f.__name__: f for f in (op1_urls, op2_decontaminate, op3_quality, op4_tokens, op5_html, op6_jaccard, op7_mixing, op8_repeats, op9_pii, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
