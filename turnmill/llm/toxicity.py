@@ -231,26 +231,32 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 10_000, max_features:
     bias = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else -2.0
     if not len(y) or y.min() == y.max():
         return ToxicModel(lm, {}, np.zeros(0), bias)
+    # beginnings are kept for words of toxic rows alone, so the driver's tables stay small next to the sample
+    words, often = got.column("words"), got.column("counts")
     toxic, clean = Counter(), Counter()
-    memo: dict[str, list[str]] = {}
-    for words, label in zip(got.column("words").to_pylist(), y, strict=True):
-        names = set()
-        for w in words:
-            f = memo.get(w)
-            if f is None:
-                f = memo[w] = features_of(w)
-            names.update(f)
-        (toxic if label else clean).update(names)
+    for i in np.flatnonzero(y > 0):
+        toxic.update({f for w in words[int(i)].as_py() for f in features_of(w)})
     least, nt, nc = max(2, int(0.003 * y.sum())), y.sum(), len(y) - y.sum()
-    gain = {f: n * math.log((n + 0.5) / (nt + 1) / ((clean[f] + 0.5) / (nc + 1))) for f, n in toxic.items() if n >= least and (n + 0.5) / (nt + 1) > 2 * (clean[f] + 0.5) / (nc + 1)}
+    toxic = Counter({f: n for f, n in toxic.items() if n >= least})
+    memo: dict[str, tuple[str, ...]] = {}
+
+    def known(w: str) -> tuple[str, ...]:
+        f = memo.get(w)
+        if f is None:
+            f = memo[w] = tuple(x for x in features_of(w) if x in toxic)
+        return f
+
+    for i in np.flatnonzero(y == 0):
+        clean.update({f for w in words[int(i)].as_py() for f in known(w)})
+    gain = {f: n * math.log((n + 0.5) / (nt + 1) / ((clean[f] + 0.5) / (nc + 1))) for f, n in toxic.items() if (n + 0.5) / (nt + 1) > 2 * (clean[f] + 0.5) / (nc + 1)}
     ids = {f: i for i, f in enumerate(sorted(gain, key=lambda f: (-gain[f], f))[:max_features])}
     if not ids:
         return ToxicModel(lm, {}, np.zeros(0), bias)
     row, col, val = [], [], []
-    for i, (words, counts) in enumerate(zip(got.column("words").to_pylist(), got.column("counts").to_pylist(), strict=True)):
+    for i in range(len(y)):
         c: Counter = Counter()
-        for w, n in zip(words, counts, strict=True):
-            for f in memo[w]:
+        for w, n in zip(words[i].as_py(), often[i].as_py(), strict=True):
+            for f in known(w):
                 if f in ids:
                     c[ids[f]] += n
         row += [i] * len(c)
