@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +61,16 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str, text: str | None = None,
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(go, schema)
+    return apply(df, go, schema)
+
+
+def apply(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``mapInArrow`` whose workers find this package where the driver did, whatever their working folder."""
+    env = df.sparkSession.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    return df.mapInArrow(fn, schema)
 
 
 # --------------------------------------------------------------------- words
