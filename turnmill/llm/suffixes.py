@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, checkpoint, map_arrow, mix, signed
+from .common import U, Words, apply, checkpoint, map_arrow, mix, signed
 
 #: Least words of a repeat; words of the gram that minimisers are chosen by; grams in a minimiser's window.
 LEAST, GRAM = 50, 8
@@ -42,19 +42,27 @@ def minimisers(w: Words, least: int) -> np.ndarray:
     return np.unique(begin + view[begin].argmin(1))
 
 
+def in_row(head: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Stem and row as one number."""
+    return head ^ mix(doc.astype(U) + U(77))
+
+
 def suffixes(docs: DataFrame, least: int, text: str, key: str) -> DataFrame:
-    """(stem, page, at, id): each sparse suffix by the hash of its first words; and a row (null stem) for each document with its words."""
+    """(stem, page, at, id): each sparse suffix by the hash of its first words, of equal ones in a text the first; and a row (null stem) for each document with its words."""
     _, stem = widths(least)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(b.column(1))
         n = np.bincount(w.doc, minlength=b.num_rows)
         at = minimisers(w, least)
+        head = fold(w.hash, at, stem)
+        _, once = np.unique(in_row(head, w.doc[at]), return_index=True)  # a text that goes round in circles has few stems
+        at, head = at[once], head[once]
         doc = w.doc[at]
         begin = np.searchsorted(w.doc, np.arange(b.num_rows))
         none = pa.nulls(len(at), b.column(0).type)
         cols = [
-            pa.concat_arrays([pa.array(signed(fold(w.hash, at, stem))), pa.nulls(b.num_rows, pa.int64())]),
+            pa.concat_arrays([pa.array(signed(head)), pa.nulls(b.num_rows, pa.int64())]),
             pa.concat_arrays([b.column(2).take(pa.array(doc)), b.column(2)]),
             pa.array(np.concatenate([at - begin[doc], n]).astype(np.int32)),
             pa.concat_arrays([none, b.column(0)]),
@@ -85,9 +93,14 @@ def contexts(docs: DataFrame, places: DataFrame, least: int, text: str, key: str
         begin, end = np.searchsorted(w.doc, np.arange(b.num_rows)), np.searchsorted(w.doc, np.arange(b.num_rows), "right")
         at = begin[doc] + flat
         ok = at + stem <= end[doc]
-        at, doc, flat = at[ok], doc[ok], flat[ok]
+        wanted = np.unique(in_row(fold(w.hash, at[ok], stem), doc[ok]))
+        at = minimisers(w, least)  # all places of a surviving stem, not only its first
+        heads, doc = fold(w.hash, at, stem), w.doc[at]
+        ok = np.isin(in_row(heads, doc), wanted)
+        at, doc, heads = at[ok], doc[ok], heads[ok]
         if not len(at):
             return None
+        flat = at - begin[doc]
         short = (w.hash >> U(32)).astype(np.uint32)
         # beyond a text's ends: marks that differ from text to text and from place to place
         odd = mix(np.arange(b.num_rows, dtype=U) + (b.column(0).to_numpy().view(U)))
@@ -95,11 +108,10 @@ def contexts(docs: DataFrame, places: DataFrame, least: int, text: str, key: str
         for j in range(side):
             for col, x, good in ((j, at - 1 - j, at - 1 - j >= begin[doc]), (side + j, at + stem + j, at + stem + j < end[doc])):
                 around[:, col] = np.where(good, short[np.clip(x, 0, len(short) - 1)], ((odd[doc] + U(col)) >> U(32)).astype(np.uint32))
-        heads = fold(w.hash, at, stem)
         ident = np.zeros(len(at), U)
         for j in range(2 * side):
             ident = ident * MULT + around[:, j]
-        ident = mix(ident ^ heads) ^ mix(doc.astype(U) + U(77))
+        ident = in_row(mix(ident ^ heads), doc)
         order = np.argsort(ident, kind="stable")
         first = np.flatnonzero(np.append(True, ident[order][1:] != ident[order][:-1]))
         pick = order[first]
@@ -180,7 +192,7 @@ def compare(grouped: DataFrame, least: int, later: bool) -> DataFrame:
             if out is not None:
                 yield out
 
-    return grouped.select("stem", "page", "around", "places").mapInArrow(go, "page bigint, lo int, hi int")
+    return apply(grouped.select("stem", "page", "around", "places"), go, "page bigint, lo int, hi int")
 
 
 def runs(page: np.ndarray, begin: np.ndarray, least: int) -> pa.RecordBatch:
