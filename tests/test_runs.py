@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from turnmill.functions.tokens import pieces
+from turnmill.operators import metrics
 from turnmill.options import PackOptions
 from turnmill.plans import catalog, packing
 from turnmill.session import global_rank
@@ -71,6 +72,14 @@ def test_packing_run_and_resume(spark, tmp_path):
     again, second = packing.run(spark, src, out, options)
     assert again == 0 and second["samples"] == manifest["samples"] and second["tokens"] == manifest["tokens"]
     assert samples.read_manifest(spark, f"{out}.manifest")["result"] == "PACK_OK"
+    assert samples.merge(spark, out, f"{out}.one") == manifest["samples"]
+    assert samples.content_hash(spark, src).count() == 1
+
+
+def test_run_report(spark):
+    rows = spark.createDataFrame([("r", i, 2.0 - i / 10) for i in range(10)], "run string, step int, loss double")
+    got = json.loads(metrics.report(rows, rows.where("step % 3 = 0"), spark.createDataFrame([("r", 9)], "run string, n_train int")).first().report)
+    assert got["verdict"] == "SFT_DDP_OK" and len(got["losses"]) == 10 and got["eval_hist"][-1]["step"] == 9
 
 
 def test_stats_only_and_consent(spark, tmp_path):

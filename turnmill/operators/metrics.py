@@ -87,3 +87,17 @@ def complete(steps: DataFrame, planned: int, killed: str | None = None) -> DataF
     marker = F.coalesce(F.bool_or(killed), F.lit(False)) if killed else F.lit(False)
     x = steps.groupBy("run").agg(F.count("*").alias("rows"), marker.alias("__killed"))
     return x.withColumn("complete", (F.col("rows") == planned) & ~F.col("__killed")).drop("__killed")
+
+
+def report(steps: DataFrame, evals: DataFrame, sizes: DataFrame, tolerance: float = 0.02, min_samples: int = 8) -> DataFrame:
+    """(run, report): a JSON document a run with its losses and evaluations in order, their summaries and the verdict."""
+    verdicts = verdict(loss_ends(steps), eval_summary(evals, tolerance), sizes, min_samples)
+    losses = steps.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("step", "loss")))["loss"].alias("losses"))
+    history = evals.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("step", F.col("loss").alias("eval_loss")))).alias("eval_hist"))
+    x = verdicts.join(losses, "run").join(history, "run", "left")
+    return x.select("run", F.to_json(F.struct(*[c for c in x.columns if c != "run"])).alias("report"))
+
+
+def logged_rate(step: F.Column, rate) -> F.Column:
+    """The rate that a step's row shows: the scheduler has moved on by then, so it is the next step's."""
+    return rate(step + 1)

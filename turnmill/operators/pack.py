@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import IGNORE
+from .render import record_reason
 
 
 def per_record(lengths: DataFrame) -> DataFrame:
-    """(rec_id, roles, n_tok, n_scored): one row a conversation, messages in order, thin arrays."""
+    """(rec_id, idx, roles, n_tok, n_scored) of accepted records: one row a conversation, messages in order, thin arrays."""
     m = F.sort_array(F.collect_list(F.struct("msg_idx", "role", "n_tok", "n_scored")))
-    x = lengths.groupBy("rec_id").agg(m.alias("m"))
+    x = lengths.groupBy("rec_id").agg(m.alias("m"), record_reason().alias("reason")).where("reason IS NULL")
     return x.select("rec_id", *(F.col(f"m.{c}").alias(a) for c, a in (("msg_idx", "idx"), ("role", "roles"), ("n_tok", "n_tok"), ("n_scored", "n_scored"))))
 
 

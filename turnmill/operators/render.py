@@ -48,20 +48,22 @@ def message_reason(df: DataFrame, strict: bool = True) -> Column:
     )
 
 
-def reasons(messages: DataFrame, strict: bool = True, checked: bool = False) -> DataFrame:
-    """(rec_id, reason): a leading system message first, else the first message's reason that has one; null: accepted.
+def record_reason(reason: str = "reason") -> Column:
+    """Aggregate over a record's messages: a leading system message first, else the first message's reason that has one."""
+    first = F.min_by("role", "msg_idx") == "system"
+    at = F.min(F.when(F.col(reason).isNotNull(), F.struct(F.col("msg_idx"), F.col(reason).alias("r"))))["r"]
+    return F.when(first, "unsupported_role_for_this_corpus:system").otherwise(at)
 
-    ``checked`` adds what the verifying renderer asks for: a user turn that is no bare tool response.
-    """
+
+def reasons(messages: DataFrame, strict: bool = True, checked: bool = False) -> DataFrame:
+    """(rec_id, reason); null: accepted. ``checked`` adds what the verifying renderer asks for: a user turn that is no bare
+    tool response."""
     text = strip(F.col("content"))
     query = (F.col("role") == "user") & ~(text.startswith("<tool_response>") & text.endswith("</tool_response>"))
-    m = messages.withColumn("__reason", message_reason(messages, strict)).withColumn("__query", query)
-    first = F.min_by("role", "msg_idx") == "system"
-    # min_by ignores nothing, so rows without a reason are ordered behind all that have one
-    at = F.min(F.when(F.col("__reason").isNotNull(), F.struct("msg_idx", "__reason")))["__reason"]
-    reason = F.when(first, "unsupported_role_for_this_corpus:system").otherwise(at)
+    m = messages.select("rec_id", "msg_idx", "role", message_reason(messages, strict).alias("reason"), query.alias("query"))
+    reason = record_reason()
     if checked:
-        reason = F.when(~F.coalesce(F.bool_or("__query"), F.lit(False)), "no_user_query").otherwise(reason)
+        reason = F.when(~F.coalesce(F.bool_or("query"), F.lit(False)), "no_user_query").otherwise(reason)
     return m.groupBy("rec_id").agg(reason.alias("reason"))
 
 
@@ -92,12 +94,18 @@ def prologue(mode: str) -> tuple[str, int]:
     return START + body + END + "\n", len(re.findall(PATTERN, body)) + 3
 
 
-def lengths(messages: DataFrame) -> DataFrame:
-    """``n_tok`` and ``n_scored`` of each user or assistant message, without making its tokens."""
+def lengths(messages: DataFrame, strict: bool = True) -> DataFrame:
+    """``n_tok``, ``n_scored`` and ``reason`` of each message, thin rows made where the texts are read, without tokens."""
     own = n_pieces(strip(F.col("content")))
-    return messages.where(F.col("role").isin("user", "assistant")).select(
-        "rec_id", "msg_idx", "role", (own + F.when(F.col("role") == "user", 5).otherwise(11)).cast("long").alias("n_tok"), F.when(F.col("role") == "assistant", own + 1).otherwise(0).cast("long").alias("n_scored")
-    )
+    tokens = F.when(F.col("role") == "user", own + 5).when(F.col("role") == "assistant", own + 11).otherwise(0)
+    scored = F.when(F.col("role") == "assistant", own + 1).otherwise(0)
+    return messages.select("rec_id", "msg_idx", "role", tokens.cast("long").alias("n_tok"), scored.cast("long").alias("n_scored"), message_reason(messages, strict).alias("reason"))
+
+
+def record_lengths(lengths_: DataFrame) -> DataFrame:
+    """(rec_id, raw_tokens, scored_tokens, n_messages) of accepted records: one shuffle of thin, pre-aggregated rows."""
+    x = lengths_.groupBy("rec_id").agg(record_reason().alias("reason"), F.sum("n_tok").alias("raw_tokens"), F.sum("n_scored").alias("scored_tokens"), F.count("*").alias("n_messages"))
+    return x.where("reason IS NULL").drop("reason")
 
 
 def tokenized(messages: DataFrame) -> DataFrame:

@@ -55,11 +55,11 @@ def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.lengths(accepted(spark, sf_dir)).groupBy("rec_id").agg(F.sum("n_tok").alias("raw_tokens"), F.sum("n_scored").alias("scored_tokens"), F.count("*").alias("n_messages"))
+    return render.record_lengths(render.lengths(messages(spark, sf_dir)))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack.per_record(render.lengths(accepted(spark, sf_dir)))
+    return pack.per_record(render.lengths(messages(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- rendering

@@ -43,7 +43,7 @@ def run(spark: SparkSession, src: str, out: str, options: PackOptions = PackOpti
     order = checkpoint(select.shards(select.ordered(split, options.shuffle_seed, options.limit), options.shards))
     chosen = messages.join(order.select("rec_id"), "rec_id", "left_semi")
     strict = not options.allow_loose_special
-    why = order.select("rec_id").join(render.reasons(chosen, strict), "rec_id", "left").withColumn("reason", F.col("reason"))
+    why = order.select("rec_id").join(render.reasons(chosen, strict), "rec_id", "left")
     good = chosen.join(why.where("reason IS NULL").select("rec_id"), "rec_id", "left_semi")
     manifest: dict = {"options": asdict(options), "unparseable": index.where("n_messages < 0").count(), "selected": order.count(), "head": order.where("split = 'head'").count()}
     if options.verify:
@@ -53,7 +53,7 @@ def run(spark: SparkSession, src: str, out: str, options: PackOptions = PackOpti
             samples.write_manifest(spark, manifest | {"result": "VERIFY_FAILED"}, f"{out}.failed")
             return VERIFY_FAILED, manifest
     _, base = render.prologue(options.thinking)
-    lengths = pack.per_record(render.lengths(good))
+    lengths = pack.per_record(render.lengths(chosen, strict))
     plans = checkpoint(pack.packed(lengths, options.max_len, options.overlength, base))
     rejected = why.where("reason IS NOT NULL").select("reason").unionByName(plans.where("reason IS NOT NULL").select("reason"))
     manifest["skip_reasons"] = {r[0]: r[1] for r in rejected.groupBy("reason").count().collect()}

@@ -18,6 +18,13 @@ def write(samples: DataFrame, path: str, only: list[int] | None = None) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if only is not None else "static").partitionBy("shard").text(path)
 
 
+def merge(spark: SparkSession, path: str, out: str) -> int:
+    """All shards as one file, in order; the number of lines. One task writes it, so only where a single file is asked for."""
+    rows = spark.read.text(path).select("shard", "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    rows.repartition(1).sortWithinPartitions("shard", "f", "b", "m").select("value").write.mode("overwrite").text(out)
+    return spark.read.text(out).count()
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SAMPLE + ", shard bigint").json(path)
 
