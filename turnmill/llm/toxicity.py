@@ -268,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 10_000, max_features:
     return ToxicModel(lm, ids, weights, bias)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 2e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 5e-5, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Full-batch Nesterov descent; only rows with a feature differ, so the others are folded into one weighted row."""
     some = x.any(1)
     xs = np.vstack([x[some], np.zeros((1, x.shape[1]), x.dtype)])
@@ -279,9 +279,9 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 2e-4, rounds: int = 300)
     mw, mb = w.copy(), b
     step = 4.0 / max(1.0, float((xs**2).sum(1).mean()))
     for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(xs @ mw + mb, -50, 50)))
+        p = 1 / (1 + np.exp(-np.clip(xs @ mw.astype(np.float32) + mb, -50, 50)))
         r = ws * (p - ys)
-        nw, nb = mw - step * 10 * (xs.T @ r + l2 * mw), mb - step * 10 * r.sum()
+        nw, nb = mw - step * 10 * (r.astype(np.float32) @ xs + l2 * mw), mb - step * 10 * r.sum()
         t = k / (k + 3)
         mw, mb = nw + t * (nw - w), nb + t * (nb - b)
         w, b = nw, nb
