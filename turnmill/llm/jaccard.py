@@ -9,24 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, checkpoint, lists, map_arrow, mix, signed
+from .common import U, Words, apply, checkpoint, lists, map_arrow, mix, signed
 from .components import components
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Tokens that a set samples in expectation; each is the first step of a path, so this is the number of repeated runs.
 RUNS = 24
 #: Tokens by which a set in a large bucket goes on; steps after which a bucket is taken as one family.
-BRANCH, DEPTH = 4, 6
+BRANCH, DEPTH = 1.5, 5
 #: Sets of a bucket that are compared by brute force; sets of a block in the exact check.
-SMALL, BLOCK = 64, 1024
-#: Estimated similarities: from here on two sets belong to one family; from here on a set leaves its bucket to the centre.
-NEAR, CLOSE = 0.5, 0.8
+SMALL, BLOCK = 64, 2048
+#: Estimated similarities: two sets of a bucket from ``NEAR`` on belong to one family. In a large bucket a set joins the family
+#: of a centre from ``REACH`` on and leaves the bucket from ``CLOSE`` on: what links to a set that left (distance 0.2) is
+#: within reach of the same centre (distance 0.4 + 0.2), since distances obey the triangle inequality.
+NEAR, REACH, CLOSE = 0.5, 0.4, 0.6
 SALT = U(0x5851F42D4C957F2D)
 
 
 # --------------------------------------------------------------------------- sets
 def shingle_sets(w: Words, n: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(row, token): the distinct shingles of each of ``n`` rows, sorted; a shorter text is one shingle of all its words."""
+    """(row, token): the distinct shingles of each of ``n`` rows, by row; a shorter text is one shingle of all its words."""
     grams, at = w.grams(size)
     doc = w.doc[at]
     count = np.bincount(w.doc, minlength=n)
@@ -40,10 +42,26 @@ def shingle_sets(w: Words, n: int, size: int = SHINGLE) -> tuple[np.ndarray, np.
         parts.append(mix(g))
         docs.append(rows)
     g, d = np.concatenate(parts), np.concatenate(docs)
-    order = np.lexsort((g, d))
-    g, d = g[order], d[order]
-    new = np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])) if len(g) else np.zeros(0, bool)
-    return d[new], g[new]
+    if len(docs[1:]) and sum(map(len, docs[1:])):
+        order = np.argsort(d, kind="stable")
+        g, d = g[order], d[order]
+    keep = first_of_each(g ^ mix(np.arange(n, dtype=U) + U(11))[d])
+    return d[keep], g[keep]
+
+
+def first_of_each(keys: np.ndarray) -> np.ndarray:
+    """Which keys occur for the first time. Few repeat, so all are sorted plainly and only the repeated ones with their places."""
+    s = np.sort(keys)
+    again = np.unique(s[1:][s[1:] == s[:-1]]) if len(s) else s
+    keep = np.ones(len(keys), bool)
+    if len(again):
+        bits = np.zeros(1 << 20, bool)
+        bits[(again >> U(44)).astype(np.int64)] = True
+        at = np.flatnonzero(bits[(keys >> U(44)).astype(np.int64)])
+        order = at[np.argsort(keys[at], kind="stable")]
+        k = keys[order]
+        keep[order[1:][k[1:] == k[:-1]]] = False
+    return keep
 
 
 def prints(doc: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,26 +159,54 @@ def forest(n: int, rows: np.ndarray, cols: np.ndarray) -> tuple[list[tuple[int,
     return kept, [root(x) for x in range(n)]
 
 
+def estimates(values: np.ndarray, off: np.ndarray, size: np.ndarray, runs: int) -> np.ndarray:
+    """Estimated similarities of all pairs of a bucket; right where the row's set is at least as large as the column's."""
+    inter = intersections(values, off)
+    high = limit(size, runs)
+    low = np.stack([np.searchsorted(values[off[j] : off[j + 1]], high) for j in range(len(size))], axis=1)
+    return inter / np.maximum(1, np.diff(off)[:, None] + low - inter)
+
+
 def bucket_edges(runs: int, near: float) -> Callable[[pa.Table], pa.RecordBatch | None]:
     def fn(t: pa.Table) -> pa.RecordBatch | None:
         ids, size = t.column("set").to_numpy(), t.column("size").to_numpy()
         values, off = ragged(t.column("sketch"))
-        n = len(ids)
-        sk = [values[off[i] : off[i + 1]] for i in range(n)]
-        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if 2 * min(size[i], size[j]) >= max(size[i], size[j]) and estimate(sk[i], size[i], sk[j], size[j], runs) >= near]
-        if not pairs:
+        if len(ids) == 2:
+            if estimate(values[: off[1]], size[0], values[off[1] :], size[1], runs) < near:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(ids[:1]), pa.array(ids[1:])], ["a", "b"])
+        linked = (estimates(values, off, size, runs) >= near) & (size[:, None] >= size[None, :])
+        np.fill_diagonal(linked, False)
+        kept, _ = forest(len(ids), *np.nonzero(linked))
+        if not kept:
             return None
-        kept, _ = forest(n, *np.array(pairs).T)
         a, b = np.array(kept).T
         return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
     return fn
 
 
-def intersections(values: np.ndarray, off: np.ndarray, step: int = 4096) -> np.ndarray:
-    """Sizes of all intersections of the sets, by products of 0/1 blocks over the tokens that two sets or more have."""
+def to_centres(values: np.ndarray, off: np.ndarray, size: np.ndarray, cval: np.ndarray, coff: np.ndarray, csize: np.ndarray, runs: int) -> np.ndarray:
+    """Estimated similarity of each row's set with the centre beside it, for all rows at once."""
+    n = len(size)
+    row, crow = np.repeat(np.arange(n), np.diff(off)), np.repeat(np.arange(n), np.diff(coff))
+    tag = mix(np.arange(n, dtype=U) + U(5))
+    common = np.bincount(row[np.isin(values ^ tag[row], cval ^ tag[crow])], minlength=n)
+    bound = limit(np.maximum(size, csize), runs)
+    mine = np.bincount(row[values < bound[row]], minlength=n) if len(row) else np.zeros(n)
+    its = np.bincount(crow[cval < bound[crow]], minlength=n) if len(crow) else np.zeros(n)
+    small = np.maximum(size, csize) <= runs  # then the sketches are the sets
+    mine, its = np.where(small, np.diff(off), mine), np.where(small, np.diff(coff), its)
+    return common / np.maximum(1, mine + its - common)
+
+
+def intersections(values: np.ndarray, off: np.ndarray, cut: int | None = None, step: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets with all, or of those before ``cut`` with those from it on.
+
+    Products of 0/1 blocks over the tokens that two sets or more have.
+    """
     n = len(off) - 1
-    if n == 2:
+    if n == 2 and cut is None:
         c = len(np.intersect1d(values[: off[1]], values[off[1] :], assume_unique=True))
         return np.array([[off[1], c], [c, off[2] - off[1]]])
     row = np.repeat(np.arange(n), np.diff(off))
@@ -171,35 +217,47 @@ def intersections(values: np.ndarray, off: np.ndarray, step: int = 4096) -> np.n
     row, col = row[keep], name[col[keep]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    out = np.zeros((n, n), np.float64)
+    out = np.zeros((n, n) if cut is None else (cut, n - cut), np.float32)
+    m = np.zeros((n, step), np.float32)
     for lo in range(0, int(shared.sum()), step):
         x, y = np.searchsorted(col, [lo, lo + step])
-        m = np.zeros((n, step), np.float32)
+        m[:] = 0
         m[row[x:y], col[x:y] - lo] = 1
-        out += m @ m.T
-    return np.rint(out).astype(np.int64)
+        out += m @ m.T if cut is None else m[:cut] @ m[cut:].T
+    out = np.rint(out).astype(np.int32)
+    if cut is None:
+        np.fill_diagonal(out, np.diff(off))
+    return out
 
 
 def checked(similar: float) -> Callable[[pa.Table], pa.RecordBatch | None]:
     """Exact links inside a block, or between two: per set the linked documents, spanning edges, and the class if there's one block."""
 
     def fn(t: pa.Table) -> pa.RecordBatch | None:
-        ids, copies, own = (t.column(c).to_numpy() for c in ("set", "copies", "own"))
         blocks, lo, hi = t.column("blocks")[0].as_py(), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        t = t.take(pa.array(np.argsort(t.column("own").to_numpy(), kind="stable"))) if lo != hi else t
+        ids, copies, own = (t.column(c).to_numpy() for c in ("set", "copies", "own"))
         values, off = ragged(t.column("tokens"))
-        size = np.diff(off)
-        inter = intersections(values, off)
-        linked = inter >= similar * (size[:, None] + size[None, :] - inter) - 1e-9
-        np.fill_diagonal(linked, False)
-        if lo != hi:
-            linked &= own[:, None] != own[None, :]
-        links = linked @ copies
-        rows, cols = np.nonzero(np.triu(linked))
+        size = np.diff(off).astype(np.int32)
+        cut = int((own == lo).sum()) if lo != hi else None
+        if cut is not None and cut in (0, len(ids)):
+            return None
+        inter = intersections(values, off, cut)
+        a, b = (size, size) if cut is None else (size[:cut], size[cut:])
+        linked = inter >= similar * (a[:, None] + b[None, :] - inter) - 1e-9
+        if cut is None:
+            np.fill_diagonal(linked, False)
+            links = linked @ copies
+            rows, cols = np.nonzero(np.triu(linked))
+        else:
+            links = np.concatenate([linked @ copies[cut:], copies[:cut] @ linked])
+            rows, cols = np.nonzero(linked)
+            cols = cols + cut
         kept, root = forest(len(ids), rows, cols)
         to: list[list[int]] = [[] for _ in ids]
         if blocks > 1:
-            for a, b in kept:
-                to[a].append(int(ids[b]))
+            for x, y in kept:
+                to[x].append(int(ids[y]))
             name = [None] * len(ids)
         else:
             least: dict[int, int] = {}
@@ -213,9 +271,12 @@ def checked(similar: float) -> Callable[[pa.Table], pa.RecordBatch | None]:
 
 # --------------------------------------------------------------------------- join
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (path, set, ...) of buckets with two sets or more, as (small, large) ones."""
+    """Rows (path, set, ...) of buckets with two sets or more, as (small, large) ones; buckets with the same sets are one."""
     count = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
     both = checkpoint(rows.join(count, "path"))
+    mark = [F.bit_xor(F.xxhash64("set", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    once = both.groupBy("path").agg(F.first("n").alias("n"), *mark).groupBy("n", "m1", "m2").agg(F.min("path").alias("path")).select("path")
+    both = checkpoint(both.join(once, "path", "left_semi"))
     return both.where(F.col("n") <= SMALL).select("path", "set"), both.where(F.col("n") > SMALL).drop("n")
 
 
@@ -223,54 +284,54 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
     """(a, b): enough edges to hold every family of sets together, by the recursion over buckets.
 
     A small bucket is compared by brute force on the sketches. In a large one every set is compared with three centres: it
-    is joined to those it is near to, leaves the bucket if it is close to one, and else goes on along tokens sampled by the
+    is joined to those within reach, leaves the bucket if it is close to one, and else goes on along tokens sampled by the
     path. A bucket that is still large after ``DEPTH`` steps becomes one family: the exact check sorts it out.
     """
-    small, large = split(sets.select(F.explode("sketch").alias("path"), "set").distinct())
+    small, large = split(sets.select(F.explode("sketch").alias("path"), "set"))
     lists_ = [small]
     found: list[DataFrame] = []
-    large = large.withColumn("used", F.array("path"))
     sketches = sets.select("set", "size", "sketch")
+    large = large.withColumn("used", F.array("path")).join(sketches, "set")
+    kind = pa.list_(pa.int64())
     for depth in range(1, DEPTH + 1):
         if large.isEmpty():
             break
-        rows = large.join(sketches, "set")
         one = F.struct("set", "size", "sketch")
-        centres = rows.groupBy("path").agg(F.min_by(one, "set").alias("c0"), F.min_by(one, F.xxhash64("set")).alias("c1"), F.min_by(one, F.xxhash64("set", F.lit(1))).alias("c2"))
+        centres = large.groupBy("path").agg(F.min_by(one, "set").alias("c0"), F.min_by(one, F.xxhash64("set")).alias("c1"), F.min_by(one, F.xxhash64("set", F.lit(1))).alias("c2"))
         last = depth == DEPTH
 
         def step(b: pa.RecordBatch, last: bool = last) -> pa.RecordBatch:
             t = pa.Table.from_batches([b])
             path, ids, size = (t.column(c).to_numpy() for c in ("path", "set", "size"))
             values, off = ragged(t.column("sketch"))
-            used = t.column("used").to_pylist()
-            centre = [t.column(c).combine_chunks() for c in ("c0", "c1", "c2")]
-            fields = [(c.field(0).to_numpy(), c.field(1).to_numpy(), *ragged(pa.chunked_array([c.field(2)]))) for c in centre]
-            edges, paths, uses = [], [], []
-            for i in range(len(ids)):
+            best, near = np.zeros(len(ids)), []
+            for c in ("c0", "c1", "c2"):
+                centre = t.column(c).combine_chunks()
+                cid = centre.field(0).to_numpy()
+                x = np.where(cid == ids, 1.0, to_centres(values, off, size, *ragged(pa.chunked_array([centre.field(2)])), centre.field(1).to_numpy(), runs))
+                best = np.maximum(best, x)
+                near.append(np.where((cid != ids) & ((x >= REACH) | last), cid, 0))
+            stay = np.flatnonzero(best < CLOSE) if not last else np.zeros(0, np.int64)
+            paths: list[list[int]] = [[] for _ in ids]
+            uses: list[list[list[int]]] = [[] for _ in ids]
+            used = t.column("used").take(pa.array(stay)).to_pylist()
+            for i, u in zip(stay.tolist(), used, strict=True):
                 mine = values[off[i] : off[i + 1]]
-                near, best = [], 0.0
-                for cid, csize, cval, coff in fields:
-                    x = 1.0 if cid[i] == ids[i] else estimate(mine, size[i], cval[coff[i] : coff[i + 1]], csize[i], runs)
-                    best = max(best, x)
-                    if cid[i] != ids[i] and (x >= NEAR or last):
-                        near.append(int(cid[i]))
-                edges.append(near)
-                go = []
-                if best < CLOSE and not last:
-                    h = mix(mine ^ U(int(path[i]) & 0xFFFFFFFFFFFFFFFF))
-                    rest = ~np.isin(mine.view(np.int64), used[i])
-                    pick = rest & (h < limit(np.array([max(1, int(rest.sum()))]), BRANCH)[0])
-                    go = [(int(p), int(v)) for p, v in zip(signed(h[pick]), mine[pick].view(np.int64), strict=True)]
-                paths.append([p for p, _ in go])
-                uses.append([[*used[i], v] for _, v in go])
-            kind = pa.list_(pa.int64())
-            return pa.RecordBatch.from_arrays([t.column("set").combine_chunks(), pa.array(edges, kind), pa.array(paths, kind), pa.array(uses, pa.list_(kind))], ["set", "near", "paths", "uses"])
-
-        out = checkpoint(map_arrow(rows.join(centres, "path").select("path", "set", "size", "sketch", "used", "c0", "c1", "c2"), step, "set bigint, near array<bigint>, paths array<bigint>, uses array<array<bigint>>"))
-        found.append(out.select(F.col("set").alias("a"), F.explode("near").alias("b")))
-        onward = out.where(F.size("paths") > 0).select("set", F.explode(F.arrays_zip("paths", "uses")).alias("x")).select("set", F.col("x.paths").alias("path"), F.col("x.uses").alias("used"))
-        small, large = split(onward)
+                rest = mine[mine > np.array([u[-1]]).view(U)[0]]  # so a set of tokens is reached in one order alone
+                h = mix(rest ^ path[i : i + 1].view(U))
+                pick = h < limit(np.array([max(1, len(mine) - len(u))]), BRANCH)[0]
+                paths[i] = signed(h[pick]).tolist()
+                uses[i] = [[*u, v] for v in rest[pick].view(np.int64).tolist()]
+            keep = [t.column(c).combine_chunks() for c in ("set", "size", "sketch")]
+            return pa.RecordBatch.from_arrays([*keep, pa.array(np.stack(near, 1).tolist(), kind), pa.array(paths, kind), pa.array(uses, pa.list_(kind))], ["set", "size", "sketch", "near", "paths", "uses"])
+
+        rows = large.join(centres, "path").select("path", "set", "size", "sketch", "used", "c0", "c1", "c2")
+        out = checkpoint(map_arrow(rows, step, "set bigint, size int, sketch array<bigint>, near array<bigint>, paths array<bigint>, uses array<array<bigint>>"))
+        # a set meets the same centres on many paths
+        met = out.select("set", F.array_sort(F.array_distinct(F.filter("near", lambda c: c != 0))).alias("near")).where(F.size("near") > 0).distinct()
+        found.append(met.select(F.col("set").alias("a"), F.explode("near").alias("b")))
+        onward = out.where(F.size("paths") > 0).select("set", "size", "sketch", F.explode(F.arrays_zip("paths", "uses")).alias("x"))
+        small, large = split(onward.select("set", "size", "sketch", F.col("x.paths").alias("path"), F.col("x.uses").alias("used")))
         lists_.append(small)
     members = lists_[0]
     for x in lists_[1:]:
@@ -279,10 +340,10 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
     company = members.groupBy("path").agg(F.sort_array(F.collect_set("set")).alias("members")).select("members").distinct().withColumn("company", F.xxhash64("members"))
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = company.select("company", F.explode("members").alias("set")).join(sketches, "set").repartition(n, "company").sortWithinPartitions("company")
-    edges = rows.select("company", "set", "size", "sketch").mapInArrow(stream(["company"], bucket_edges(runs, NEAR)), "a bigint, b bigint")
+    edges = apply(rows.select("company", "set", "size", "sketch"), stream(["company"], bucket_edges(runs, NEAR)), "a bigint, b bigint")
     for x in found:
         edges = edges.unionByName(x)
-    return edges
+    return checkpoint(edges.distinct())
 
 
 def token_sets(docs: DataFrame, needed: DataFrame, text: str, key: str) -> DataFrame:
@@ -325,7 +386,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, runs: int = RUNS,
     spread = tokens.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = spread.repartition(n, "family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").select("family", "lo", "hi", "blocks", "own", "set", "copies", "tokens")
-    exact = checkpoint(grouped.mapInArrow(stream(["family", "lo", "hi"], checked(similar)), "set bigint, links bigint, class bigint, to array<bigint>"))
+    exact = checkpoint(apply(grouped, stream(["family", "lo", "hi"], checked(similar)), "set bigint, links bigint, class bigint, to array<bigint>"))
     linked = exact.groupBy("set").agg(F.sum("links").alias("links"), F.min("class").alias("class"))
     edges = exact.where(F.size("to") > 0).select(F.col("set").alias("a"), F.explode("to").alias("b"))
     if not edges.isEmpty():
