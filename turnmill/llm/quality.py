@@ -146,11 +146,12 @@ def quality(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     """
     f = checkpoint(features(docs, text, key).withColumn("votes", votes()))
     post = fit([(r[0], r[1]) for r in f.groupBy("votes").count().collect()])
-    table = F.create_map(*(x for p, q in post.items() for x in (F.lit(p), F.lit(q)))) if post else F.create_map(F.lit(""), F.lit(0.0))
+    # a row a pattern, at most three to the number of rules: small enough to go to every task
+    known = docs.sparkSession.createDataFrame(sorted(post.items()), "votes string, posterior double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (
-        f.withColumn("base_failed", failed)
-        .withColumn("posterior", table[F.col("votes")])
+        f.join(F.broadcast(known), "votes")
+        .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
         .select(key, *COUNTS, "base_failed", "kept", "posterior", "votes")
     )
