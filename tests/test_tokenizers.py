@@ -8,24 +8,31 @@ pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 
-def load():
-    import tokenizers
+def loader():
+    """A loader that travels to the workers by value: the tests aren't on their path."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
 
-    class Bpe:
-        def __init__(self):
-            self.t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    def load():
+        import tokenizers
 
-        def encode_batch(self, texts):
-            return [e.ids for e in self.t.encode_batch(texts, add_special_tokens=False)]
+        class Bpe:
+            def __init__(self):
+                self.t = tokenizers.Tokenizer.from_file(path)
 
-        def decode(self, ids):
-            return self.t.decode(ids, skip_special_tokens=False)
+            def encode_batch(self, texts):
+                return [e.ids for e in self.t.encode_batch(texts, add_special_tokens=False)]
 
-    return Bpe()
+            def decode(self, ids):
+                return self.t.decode(ids, skip_special_tokens=False)
+
+        return Bpe()
+
+    return load
 
 
 def test_other_tokenizers_plug_in(spark):
     texts = ["hello world", "", None, "ä 漢\n"]
+    load = loader()
     own = load()
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(encoder(load)(F.col("t"))).collect()]
@@ -35,4 +42,4 @@ def test_other_tokenizers_plug_in(spark):
 
 def test_filter_with_a_tokenizer(spark):
     m = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "fine")], "rec_id int, msg_idx int, role string, content string")
-    assert verify.round_trip(m, round_trips(load, render.END)(F.col("content"))).first().kept
+    assert verify.round_trip(m, round_trips(loader(), render.END)(F.col("content"))).first().kept
