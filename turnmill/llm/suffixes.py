@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, apply, checkpoint, map_arrow, mix, signed
+from .common import U, Words, apply, checkpoint, map_arrow, mix, signed, stash
 
 #: Least words of a repeat; words of the gram that minimisers are chosen by; grams in a minimiser's window.
 LEAST, GRAM = 50, 8
@@ -244,7 +244,7 @@ def repeats(docs: DataFrame, least: int = LEAST, later: bool = False, hot: int =
     """
     if least < GRAM:
         raise ValueError(f"least must be {GRAM} or more")
-    found = checkpoint(suffixes(docs, least, text, key))
+    found = stash(suffixes(docs, least, text, key))
     pages = found.where("stem IS NULL").select(F.col("id").alias(key), "page", F.col("at").alias("words")).distinct()
     sparse = found.where("stem IS NOT NULL").select("stem", "page", "at")
     shared = sparse.groupBy("stem").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo <> hi").select("stem")
