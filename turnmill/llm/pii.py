@@ -138,11 +138,12 @@ def fit(patterns: list[tuple[str, int]], rounds: int = 50) -> dict[str, float]:
             said = np.stack([(w[:, None] * (votes == k)).sum(0) + 5 * prior[k == 0] for k in (0, 2)])
             chance = np.zeros((3, votes.shape[1]))
             chance[[0, 2]] = np.log(said / said.sum(0))
-            score.append(math.log((w.sum() + 1) / (n.sum() + 2)) + chance[votes, np.arange(votes.shape[1])].sum(1))
+            # neither class is taken to be rarer than one in ten, so that a corpus of plain cases leaves objections their weight
+            score.append(math.log(np.clip(w.sum() / n.sum(), 0.1, 0.9)) + chance[votes, np.arange(votes.shape[1])].sum(1))
         post = 1 / (1 + np.exp(np.clip(score[1] - score[0], -40, 40)))
     x = np.concatenate([votes == 2, votes == 0, [[p.startswith(k) for k in KINDS] + ["~" in p, True] for p, _ in names]], axis=1).astype(float)
-    theta, weight = np.zeros(x.shape[1]), np.sqrt(n) / np.sqrt(n).sum()
-    for _ in range(400):
+    theta, weight = np.zeros(x.shape[1]), np.cbrt(n) / np.cbrt(n).sum()
+    for _ in range(1500):
         p = 1 / (1 + np.exp(-x @ theta))
         theta += 4.0 * (x.T @ (weight * (post - p)) - 1e-4 * theta)
     return {p: float(q) for (p, _), q in zip(names, 1 / (1 + np.exp(-x @ theta)), strict=True)}
@@ -185,7 +186,7 @@ def chosen(base: list[str], loose: list[str], model: dict[str, float], threshold
     return spans, sorted(spans + more)
 
 
-def pii(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+def pii(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.9) -> DataFrame:
     """Per row: base counts by kind, ``base_sha256`` of the base spans, and ``spans``, base and added ones.
 
     Null and empty texts have no spans. Repeated rows are searched one by one; spans that start together are in the order
@@ -218,7 +219,7 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5, length: str | None = None) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.9, length: str | None = None) -> DataFrame:
     """All rows and columns of ``docs``, found spans in ``text`` replaced; ``length``, if named, gets the new code points.
 
     The vote patterns are counted over all rows first. A null text stays null.
