@@ -5,7 +5,7 @@ import random
 from collections import Counter
 
 import pytest
-from brute import near, repeats
+from brute import near, repeats, shingles
 from pyspark.sql import functions as F
 
 from turnmill.llm import jaccard, mixing, suffixes
@@ -67,6 +67,24 @@ def test_links_and_classes_equal_brute_force(spark, crowd, monkeypatch, block, s
     assert got == near(crowd)
 
 
+def test_pairs_of_frequent_passages_are_linked(spark, monkeypatch):
+    """All shared shingles of a pair lie in buckets that are too large for the comparison by brute force."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    rng = random.Random(4)
+    pool = [" ".join(f"p{k}x{j}" for j in range(30)) for k in range(24)]
+    rows = []
+    for i in range(400):
+        w = " ".join(rng.sample(pool, 6)).split()
+        at = rng.randrange(170)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:at], *(f"e{i}x{j}" for j in range(10)), *w[at + 10 :]]))]
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(a, a + 1) for a in range(0, len(rows), 2)]
+    assert all(0.8 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.9 for a, b in pairs)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(docs(spark, rows)).collect()}
+    lost = [p for p in pairs if got[p[0]][0] != got[p[1]][0] or not got[p[0]][1]]
+    assert not lost
+
+
 def test_one_of_each_keeps_other_columns(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(1, text, "a"), (2, text + " end", "b"), (3, "quite another text of its own", "c"), (3, "quite another text of its own", "c"), (4, None, "d"), (5, None, "e")]

@@ -15,14 +15,15 @@ from .components import components
 SHINGLE, SIMILAR = 5, 0.8
 #: Tokens that a set samples in expectation; each is the first step of a path, so this is the number of repeated runs.
 RUNS = 24
-#: Tokens by which a set in a large bucket goes on; steps after which a bucket is taken as one family.
+#: Tokens by which a set in a large bucket goes on, in expectation and at least one; a pair at the threshold shares at least 0.8
+#: of them, so its shared paths grow from step to step. Steps after which a bucket is taken as one family.
 BRANCH, DEPTH = 1.5, 5
 #: Sets of a bucket that are compared by brute force; sets of a block in the exact check.
 SMALL, BLOCK = 64, 2048
 #: Estimated similarities: two sets of a bucket from ``NEAR`` on belong to one family. In a large bucket a set joins the family
-#: of a centre from ``REACH`` on and leaves the bucket from ``CLOSE`` on: what links to a set that left (distance 0.2) is
-#: within reach of the same centre (distance 0.4 + 0.2), since distances obey the triangle inequality.
-NEAR, REACH, CLOSE = 0.5, 0.4, 0.6
+#: of a centre from ``REACH`` on and leaves the bucket from ``CLOSE`` on: what is near a set that left is within reach of the
+#: same centre, since estimated distances obey the triangle inequality too (1 - REACH >= (1 - NEAR) + (1 - CLOSE)).
+NEAR, REACH, CLOSE = 0.5, 0.4, 0.9
 SALT = U(0x5851F42D4C957F2D)
 
 
@@ -271,12 +272,15 @@ def checked(similar: float) -> Callable[[pa.Table], pa.RecordBatch | None]:
 
 # --------------------------------------------------------------------------- join
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (path, set, ...) of buckets with two sets or more, as (small, large) ones; buckets with the same sets are one."""
+    """Rows (path, set, ...) of buckets with two sets or more, as (small, large) ones.
+
+    Buckets with the same sets are one; a large one has their number as ``runs``, so that their sets go on as often.
+    """
     count = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
     both = checkpoint(rows.join(count, "path"))
     mark = [F.bit_xor(F.xxhash64("set", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
-    once = both.groupBy("path").agg(F.first("n").alias("n"), *mark).groupBy("n", "m1", "m2").agg(F.min("path").alias("path")).select("path")
-    both = checkpoint(both.join(once, "path", "left_semi"))
+    once = both.groupBy("path").agg(F.first("n").alias("n"), *mark).groupBy("n", "m1", "m2").agg(F.min("path").alias("path"), F.count("*").cast("int").alias("runs")).select("path", "runs")
+    both = checkpoint(both.join(once, "path"))
     return both.where(F.col("n") <= SMALL).select("path", "set"), both.where(F.col("n") > SMALL).drop("n")
 
 
@@ -285,31 +289,35 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
 
     A small bucket is compared by brute force on the sketches. In a large one every set is compared with three centres: it
     is joined to those within reach, leaves the bucket if it is close to one, and else goes on along tokens sampled by the
-    path. A bucket that is still large after ``DEPTH`` steps becomes one family: the exact check sorts it out.
+    path, the first of them at least; a bucket that its centres hold together as one family is done. The set with the shortest sketch is a centre, so one without tokens left to go on by
+    is compared with the whole bucket. A bucket that is still large after ``DEPTH`` steps becomes one family: the exact
+    check sorts it out.
     """
     small, large = split(sets.select(F.explode("sketch").alias("path"), "set"))
     lists_ = [small]
     found: list[DataFrame] = []
     sketches = sets.select("set", "size", "sketch")
-    large = large.withColumn("used", F.array("path")).join(sketches, "set")
+    large = large.withColumn("used", F.array("path"))
     kind = pa.list_(pa.int64())
     for depth in range(1, DEPTH + 1):
         if large.isEmpty():
             break
+        large = large.join(sketches, "set")
         one = F.struct("set", "size", "sketch")
-        centres = large.groupBy("path").agg(F.min_by(one, "set").alias("c0"), F.min_by(one, F.xxhash64("set")).alias("c1"), F.min_by(one, F.xxhash64("set", F.lit(1))).alias("c2"))
+        centres = large.groupBy("path").agg(F.min_by(one, "set").alias("c0"), F.min_by(one, F.xxhash64("set")).alias("c1"), F.min_by(one, F.struct(F.size("sketch"), "set")).alias("c2"))
         last = depth == DEPTH
 
         def step(b: pa.RecordBatch, last: bool = last) -> pa.RecordBatch:
             t = pa.Table.from_batches([b])
-            path, ids, size = (t.column(c).to_numpy() for c in ("path", "set", "size"))
+            path, ids, size, times = (t.column(c).to_numpy() for c in ("path", "set", "size", "runs"))
             values, off = ragged(t.column("sketch"))
-            best, near = np.zeros(len(ids)), []
-            for c in ("c0", "c1", "c2"):
+            best, near, mask = np.zeros(len(ids)), [], np.zeros(len(ids), np.int32)
+            for bit, c in enumerate(("c0", "c1", "c2")):
                 centre = t.column(c).combine_chunks()
                 cid = centre.field(0).to_numpy()
                 x = np.where(cid == ids, 1.0, to_centres(values, off, size, *ragged(pa.chunked_array([centre.field(2)])), centre.field(1).to_numpy(), runs))
                 best = np.maximum(best, x)
+                mask |= (x >= REACH).astype(np.int32) << bit
                 near.append(np.where((cid != ids) & ((x >= REACH) | last), cid, 0))
             stay = np.flatnonzero(best < CLOSE) if not last else np.zeros(0, np.int64)
             paths: list[list[int]] = [[] for _ in ids]
@@ -317,21 +325,26 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
             used = t.column("used").take(pa.array(stay)).to_pylist()
             for i, u in zip(stay.tolist(), used, strict=True):
                 mine = values[off[i] : off[i + 1]]
-                rest = mine[mine > np.array([u[-1]]).view(U)[0]]  # so a set of tokens is reached in one order alone
+                rest = mine[~np.isin(mine, np.array(u).view(U))]
+                if not len(rest):
+                    continue
                 h = mix(rest ^ path[i : i + 1].view(U))
-                pick = h < limit(np.array([max(1, len(mine) - len(u))]), BRANCH)[0]
+                pick = h < limit(np.array([len(rest)]), BRANCH * times[i])[0]
+                pick[h.argmin()] = True
                 paths[i] = signed(h[pick]).tolist()
                 uses[i] = [[*u, v] for v in rest[pick].view(np.int64).tolist()]
-            keep = [t.column(c).combine_chunks() for c in ("set", "size", "sketch")]
-            return pa.RecordBatch.from_arrays([*keep, pa.array(np.stack(near, 1).tolist(), kind), pa.array(paths, kind), pa.array(uses, pa.list_(kind))], ["set", "size", "sketch", "near", "paths", "uses"])
+            return pa.RecordBatch.from_arrays([pa.array(path), pa.array(ids), pa.array(mask), pa.array(np.stack(near, 1).tolist(), kind), pa.array(paths, kind), pa.array(uses, pa.list_(kind))], ["bucket", "set", "mask", "near", "paths", "uses"])
 
-        rows = large.join(centres, "path").select("path", "set", "size", "sketch", "used", "c0", "c1", "c2")
-        out = checkpoint(map_arrow(rows, step, "set bigint, size int, sketch array<bigint>, near array<bigint>, paths array<bigint>, uses array<array<bigint>>"))
+        rows = large.join(centres, "path").select("path", "set", "size", "sketch", "used", "runs", "c0", "c1", "c2")
+        out = checkpoint(map_arrow(rows, step, "bucket bigint, set bigint, mask int, near array<bigint>, paths array<bigint>, uses array<array<bigint>>"))
         # a set meets the same centres on many paths
         met = out.select("set", F.array_sort(F.array_distinct(F.filter("near", lambda c: c != 0))).alias("near")).where(F.size("near") > 0).distinct()
         found.append(met.select(F.col("set").alias("a"), F.explode("near").alias("b")))
-        onward = out.where(F.size("paths") > 0).select("set", "size", "sketch", F.explode(F.arrays_zip("paths", "uses")).alias("x"))
-        small, large = split(onward.select("set", "size", "sketch", F.col("x.paths").alias("path"), F.col("x.uses").alias("used")))
+        # every set of the bucket is joined to a centre, and the centres to each other: nothing is left to find there
+        has = [F.max((F.col("mask") == k).cast("int")) for k in (7, 3, 5, 6, 0)]
+        done = out.groupBy("bucket").agg(((has[4] == 0) & ((has[0] == 1) | (has[1] + has[2] + has[3] >= 2))).alias("done")).where("done").select("bucket")
+        onward = out.where(F.size("paths") > 0).join(done, "bucket", "left_anti").select("set", F.explode(F.arrays_zip("paths", "uses")).alias("x"))
+        small, large = split(onward.select("set", F.col("x.paths").alias("path"), F.col("x.uses").alias("used")))
         lists_.append(small)
     members = lists_[0]
     for x in lists_[1:]:
