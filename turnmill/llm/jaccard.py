@@ -317,7 +317,7 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
                 cid = centre.field(0).to_numpy()
                 x = np.where(cid == ids, 1.0, to_centres(values, off, size, *ragged(pa.chunked_array([centre.field(2)])), centre.field(1).to_numpy(), runs))
                 best = np.maximum(best, x)
-                mask |= (x >= REACH).astype(np.int32) << bit
+                mask |= ((x >= REACH) | last).astype(np.int32) << bit
                 near.append(np.where((cid != ids) & ((x >= REACH) | last), cid, 0))
             stay = np.flatnonzero(best < CLOSE) if not last else np.zeros(0, np.int64)
             paths: list[list[int]] = [[] for _ in ids]
@@ -337,9 +337,11 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
 
         rows = large.join(centres, "path").select("path", "set", "size", "sketch", "used", "runs", "c0", "c1", "c2")
         out = checkpoint(map_arrow(rows, step, "bucket bigint, set bigint, mask int, near array<bigint>, paths array<bigint>, uses array<array<bigint>>"))
-        # a set meets the same centres on many paths
-        met = out.select("set", F.array_sort(F.array_distinct(F.filter("near", lambda c: c != 0))).alias("near")).where(F.size("near") > 0).distinct()
-        found.append(met.select(F.col("set").alias("a"), F.explode("near").alias("b")))
+        # a set is joined to its first centre, one set of each kind to the others too; it meets the same centres on many paths
+        first = F.when(F.col("mask") % 2 == 1, F.get("near", F.lit(0))).when(F.col("mask") % 4 == 2, F.get("near", F.lit(1))).when(F.col("mask") == 4, F.get("near", F.lit(2)))
+        found.append(out.select(F.col("set").alias("a"), first.alias("b")).where("b <> 0").distinct())
+        kinds = out.where("mask in (3, 5, 6, 7)").groupBy("bucket", "mask").agg(F.min_by(F.struct("set", "near"), "set").alias("x"))
+        found.append(kinds.select(F.col("x.set").alias("a"), F.explode("x.near").alias("b")).where("b <> 0"))
         # every set of the bucket is joined to a centre, and the centres to each other: nothing is left to find there
         has = [F.max((F.col("mask") == k).cast("int")) for k in (7, 3, 5, 6, 0)]
         done = out.groupBy("bucket").agg(((has[4] == 0) & ((has[0] == 1) | (has[1] + has[2] + has[3] >= 2))).alias("done")).where("done").select("bucket")
