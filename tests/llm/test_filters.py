@@ -116,6 +116,16 @@ def test_common_seeds_alone_still_count(spark, monkeypatch):
     assert {r.doc_id for r in got.collect()} == set(range(30))
 
 
+def test_edited_copies_beside_many_verbatim_ones_are_found(spark):
+    items = [(1, " ".join(f"a{i}" for i in range(38))), (2, " ".join(f"b{i}" for i in range(59)))]
+    rows = [(k, items[k % 2][1]) for k in range(300)]
+    for k, (t, step) in enumerate([(items[0][1], 6), (items[1][1], 7), (items[0][1], 5), (items[1][1], 10)]):
+        rows.append((1000 + k, " ".join(f"e{i}" if i % step == step - 1 else x for i, x in enumerate(t.split()))))
+    rows.append((2000, " ".join(items[0][1].split()[:8]) + " and other words"))
+    got = decontaminate.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {*range(300), 1000, 1001, 1002, 1003}
+
+
 # ----------------------------------------------------------------------- quality
 def test_counts_equal_brute_force(spark):
     rng = random.Random(5)

@@ -152,7 +152,6 @@ def seed_frequencies(docs: DataFrame, items: Items, text: str) -> DataFrame:
 def matches(docs: DataFrame, items: Items, rare: np.ndarray, threshold: float, text: str, key: str) -> DataFrame:
     """(key, item, score, first word, past-last word) of every alignment that reaches the threshold, in one pass."""
     is_rare = member(rare, items.grams)
-    total = np.bincount(items.item, minlength=len(items.ids))
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         w = normal(b.column(1))
@@ -170,12 +169,12 @@ def matches(docs: DataFrame, items: Items, rare: np.ndarray, threshold: float, t
             edges = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
             for s, e in zip(edges, [*edges[1:], len(pair)], strict=True):
                 d, i = divmod(int(pair[s]), len(items.ids))
-                # no rare seed: only if the common ones are at least half of the item's
-                if not is_rare[idx[s:e]].any() and 2 * len(np.unique(items.place[idx[s:e]])) < total[i]:
-                    continue
-                a, words = items.words[i], w.hash[cut[d] : cut[d + 1]]
+                a, words, common = items.words[i], w.hash[cut[d] : cut[d + 1]], not is_rare[idx[s:e]].any()
                 best = (0.0, 0, 0)
                 for x, y in windows(pos[s:e] - cut[d], items.place[idx[s:e]], len(a), items.size, len(words)):
+                    # no rare seed: only if the window has words enough; a score is at most the share of the item's words there
+                    if common and np.isin(a, words[x:y]).mean() < threshold:
+                        continue
                     score, f, t = align(a, words[x:y])
                     best = max(best, (score / (MATCH * len(a)), x + f, x + t), key=lambda z: (z[0], -z[1]))
                 if best[0] >= threshold:
@@ -207,7 +206,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     """Every document and test item whose best alignment scores at least ``threshold`` of the item's perfect score.
 
     Two passes over ``docs`` for each block of items, no shuffle of texts: the first counts in how many documents each seed
-    occurs, the second aligns documents that share a rare seed with an item, or half of its seeds though all are common.
+    occurs, the second aligns documents that share a rare seed with an item, or a common one beside enough of its words to
+    reach the threshold.
     Words are compared in lower case without ASCII punctuation. Null and empty texts have no words and match nothing;
     items under ``SEED`` words match exactly. Repeated documents each get their rows; repeated items with one id are one.
     A document may match several items. Empty tables give an empty result.
