@@ -75,6 +75,13 @@ def test_links_carry_trust_and_distrust(spark):
     assert got == {"good.org": (True, "allow"), "a.x": (True, "allow"), "evil.example.com": (False, "block"), "c.x": (False, "block")}
 
 
+def test_distrust_reaches_every_host_that_links_to_a_popular_target(spark):
+    rows = [(0, "http://evil.example.com/de/", "")] + [(i, f"http://k{i}.x/", "<a href=http://evil.example.com/de/1>") for i in range(1, 9)]
+    rows += [(20 + i, "http://hub.x/", f"<a href=http://n{i}.x/>" if i else "<a href=http://evil.example.com/>") for i in range(5)]
+    got = {r.host: r.verdict for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {"evil.example.com": "block", "hub.x": "allow"} | {f"k{i}.x": "block" for i in range(1, 9)}
+
+
 # --------------------------------------------------------------- decontamination
 def test_alignment_equals_brute_force():
     rng = np.random.default_rng(3)

@@ -40,22 +40,24 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 30, between: int = 5) -> DataFrame:
-    """Personalised PageRank of two seedings at once: (host, trust, distrust).
+    """Personalised PageRank of two seedings at once: (host, trust, distrust, exposure).
 
-    ``seeds`` (host, trust, distrust) restart a walk; trust follows links, distrust goes against them. Scores are linear in
-    the seeds: a host without neighbours keeps its seed. Every few rounds the ranks go to the shared folder, and the walk
+    ``seeds`` (host, trust, distrust) restart a walk; trust follows links, distrust goes against them, split over a host's
+    in-links. Exposure is distrust weighed by the shares of a host's own links instead, so it doesn't shrink with the number
+    of hosts that link to the same target. Scores are linear in the seeds: a host without neighbours keeps its seed. Every few rounds the ranks go to the shared folder, and the walk
     ends when their summed change is under ``tolerance`` a host. Only that sum comes to the driver.
     """
     if edges.isEmpty():
-        return seeds.select("host", "trust", "distrust")
+        return seeds.select("host", "trust", "distrust", F.col("distrust").alias("exposure"))
     edges = checkpoint(edges)
     out_, in_ = edges.groupBy("src").agg(F.sum("links").alias("all")), edges.groupBy("dst").agg(F.sum("links").alias("all"))
     share = (F.col("links") / F.col("all")).alias("share")
     forward = edges.join(out_, "src").select(F.lit(0).alias("way"), F.col("src").alias("a"), F.col("dst").alias("b"), share)
     back = edges.join(in_, "dst").select(F.lit(1).alias("way"), F.col("dst").alias("a"), F.col("src").alias("b"), share)
-    steps = checkpoint(forward.unionByName(back))
+    own = edges.join(out_, "src").select(F.lit(2).alias("way"), F.col("dst").alias("a"), F.col("src").alias("b"), share)
+    steps = checkpoint(forward.unionByName(back).unionByName(own))
     nodes = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct().join(seeds, "host", "left").na.fill(0.0)
-    rank = checkpoint(nodes.select("host", F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("trust").alias("seed")), F.struct(F.lit(1).alias("way"), F.col("distrust").alias("seed")))).alias("x")).select("host", "x.way", "x.seed", F.col("x.seed").alias("rank")))
+    rank = checkpoint(nodes.select("host", F.explode(F.array(*(F.struct(F.lit(way).alias("way"), F.col(c).alias("seed")) for way, c in enumerate(("trust", "distrust", "distrust"))))).alias("x")).select("host", "x.way", "x.seed", F.col("x.seed").alias("rank")))
     n = rank.count()
     for k in range(1, rounds + 1):
         flow = steps.join(rank.where("rank > 0").select("way", F.col("host").alias("a"), "rank"), ["way", "a"]).groupBy("way", F.col("b").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
@@ -69,14 +71,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
         if change < tolerance * max(n, 1):
             break
     pick = lambda way: F.max(F.when(F.col("way") == way, F.col("rank")))
-    return rank.groupBy("host").agg(pick(0).alias("trust"), pick(1).alias("distrust"))
+    return rank.groupBy("host").agg(pick(0).alias("trust"), pick(1).alias("distrust"), pick(2).alias("exposure"))
 
 
 def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = 0.5, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
     """``key``, host, path, rule, verdict and the host's scores for every row.
 
     A rule judges the urls it fits. A host's seeds are the shares of its pages that rules allow and block; its other urls
-    are blocked if its distrust is at least ``threshold`` and above its trust, else allowed. Null urls and urls without
+    are blocked if its exposure to distrust is at least ``threshold`` and above its trust, else allowed. Null urls and urls without
     ``://`` have empty host and path and are allowed: nothing speaks against them. Repeated rows are judged one by one;
     links come from the whole html (null: none). A hot host is one row of the graph, however many pages it has.
     """
@@ -87,7 +89,7 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
         (F.count_if(F.col("__said") == "allow") / F.count("*")).alias("trust"), (F.count_if(F.col("__said") == "block") / F.count("*")).alias("distrust")
     )
     scores = propagate(host_edges(parts), seeds)
-    own = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")) & (F.col("host") != ""), "block").otherwise("allow")
+    own = F.when((F.col("exposure") >= threshold) & (F.col("exposure") > F.col("trust")) & (F.col("host") != ""), "block").otherwise("allow")
     return judged.drop("html").join(scores, "host", "left").select(
         key, "host", "path", "rule", F.coalesce("__said", own).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
     )
