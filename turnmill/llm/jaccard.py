@@ -384,8 +384,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, runs: int = RUNS,
     """(key, class_id, n_links) of every row: Jaccard similarity of five-word shingle sets of at least ``similar`` links.
 
     Sets are joined by chosen paths over sampled tokens, then all pairs inside a family of candidates are checked exactly in
-    blocks, so links are exact there; a pair is missed only if no run brings it together (under one in 10^4 at the threshold
-    with 24 runs). A class is a connected component of links, named by its least key; ``n_links`` counts the other rows
+    blocks, so links are exact there; a pair is missed only if no run brings it together or its sketches' estimate is under ``NEAR``
+    (by a binomial model about 3 in 10^4 at the threshold). A class is a connected component of links, named by its least key; ``n_links`` counts the other rows
     that a row links to. A text under five words is one shingle of all its words. Null and empty texts have no shingles:
     each such row is a class of its own without links. Equal texts are linked, repeated rows too. Copies share one set, so
     they cost one row. An empty table gives an empty result.
