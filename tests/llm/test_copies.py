@@ -119,6 +119,43 @@ def test_repeats_equal_brute_force(spark, hot, least):
     assert {x for x in got if x[0] == 9} == {x for x in plain if x[0] == 9}
 
 
+def test_a_hot_key_beside_many_others(spark):
+    """The join that sets hot keys apart leaves every other key's rows in one task, however adaptive execution reads them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(8)
+        pool = [" ".join(f"p{k}x{j}" for j in range(70)) for k in range(60)]
+        common = " ".join(f"c{j}" for j in range(80))
+        rows = [(i, f"a{i} {rng.choice(pool)} b{i} {common if i % 3 else rng.choice(pool)} d{i}") for i in range(300)]
+        want = repeats(rows, 50)
+        for later in (False, True):
+            got = {tuple(r)[:3] for r in suffixes.repeats(docs(spark, rows).repartition(8), 50, hot=40, later=later).collect()}
+            if not later:
+                assert got == want
+        assert {x[0] for x in got} <= {x[0] for x in want} and sum(x[2] - x[1] for x in got) == sum(x[2] - x[1] for x in want) - 70 * len({p for p in pool if sum(p in t for _, t in rows) > 1}) - 80
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_dealt_keys_stay_together_over_an_adaptive_join(spark):
+    from turnmill.llm.common import apply, checkpoint, dealt
+
+    import pyarrow as pa
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(0, 20_000, numPartitions=8).select((F.col("id") % 500).alias("key"))
+        few = checkpoint(spark.range(3).select(F.col("id").alias("key")))
+
+        def keys(batches):
+            seen = {k for b in batches for k in b.column(0).to_pylist()}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int64())], ["key"])
+
+        assert apply(dealt(rows.join(few, "key", "left_anti"), "key"), keys, "key long").count() == 497
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_cutting_repeats_leaves_each_passage_once(spark):
     shared = " ".join(f"s{i}" for i in range(60))
     rows = [(i, f"begin own{i} {shared} own{i} end") for i in range(5)] + [(9, None), (10, "short")]

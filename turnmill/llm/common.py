@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -13,6 +15,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one kernel call holds at most, unless a single row is longer.
 SLICE_BYTES = 4 << 20
@@ -84,13 +87,39 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str, text: str | None = None,
     return apply(df, go, schema)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and what they keep counts beside the JVM's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def apply(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """``mapInArrow`` whose workers find this package where the driver did, whatever their working folder."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
     env = df.sparkSession.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(go, schema)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with all rows of a key in one partition, sorted by key, for an ``apply`` that reads a key's rows together.
+
+    Dealt by a hash of the keys instead of the keys: over a join on the same keys Spark would leave out a ``repartition`` on
+    them, and adaptive execution, which knows of no need for the grouping above the join, then reads its shuffle by mapper or
+    splits its large partitions, so that a key's rows end in several tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.xxhash64(*keys, F.lit(1))).sortWithinPartitions(*keys)
 
 
 # --------------------------------------------------------------------- words

@@ -7,12 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, apply, checkpoint, map_arrow, mix, signed, stash
+from .common import U, Words, apply, checkpoint, dealt, map_arrow, mix, signed, stash
 
 #: Least words of a repeat; words of the gram that minimisers are chosen by; grams in a minimiser's window.
 LEAST, GRAM = 50, 8
-#: Distinct contexts that one task compares for a key; keys with more are compared by a shuffle on each alignment.
-HOT = 20_000
+#: Contexts of a key that one task compares together; a key with more is split by longer and longer surroundings.
+HOT = 2_000
+#: Rows that a task compares at a time, unless a key has more.
+ROWS = 20_000
 MULT = U(0xD6E8FEB86659FD93)
 
 
@@ -126,8 +128,8 @@ def contexts(docs: DataFrame, places: DataFrame, least: int, text: str, key: str
     return map_arrow(joined, run, "stem bigint, page bigint, around binary, places array<int>", "text")
 
 
-def alignments(b: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each context and each number of words taken from the left: the hash of that stretch of ``least`` words."""
+def halves(b: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each number of words and each context: the hashes of the stem with that many words to its left, and to its right."""
     side = widths(least)[0] - 1
     stem = b.column(b.schema.get_field_index("stem")).to_numpy().view(U)
     data = b.column(b.schema.get_field_index("around"))
@@ -136,34 +138,44 @@ def alignments(b: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray]:
     for j in range(side):
         left.append(mix(left[-1] * MULT + around[:, j]))
         right.append(mix(right[-1] * MULT + around[:, side + j]))
-    return stem, np.stack([left[k] ^ (right[side - k] * MULT) for k in range(side + 1)])
+    return np.stack(left), np.stack(right)
 
 
-def compare(grouped: DataFrame, least: int, later: bool) -> DataFrame:
-    """(page, at, k): neighbours in the order of each alignment that agree over ``least`` words and are of different texts.
+#: Columns of contexts on their way through the comparison: those of one ``key`` agree on the stem, ``k0`` words to its left
+#: and ``side - k1`` to its right, and are compared in the alignments that take ``k0`` to ``k1`` words from the left.
+KEYED = "key bigint, k0 int, k1 int, stem bigint, page bigint, around binary, places array<int>"
+NAMES = [x.split()[0] for x in KEYED.split(", ")]
 
-    The rows come sorted by stem; a stem's rows are compared together, so a task holds those of whole stems, at most about
-    ``HOT`` rows more than a batch.
+
+def compare(rows: DataFrame, least: int, later: bool) -> DataFrame:
+    """(page, lo, hi): neighbours in the order of each alignment that agree over ``least`` words and are of different texts.
+
+    A key's rows are compared together, so a task holds those of whole keys, at most about ``ROWS`` rows more than a batch.
     """
 
     def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        _, stretches = alignments(t, least)
-        page = t.column(1).to_numpy()
-        rows, ks = [], []
-        for k, h in enumerate(stretches):
-            order = np.lexsort((page, h))
-            hs, ps = h[order], page[order]
+        left, right = halves(t, least)
+        side = len(left) - 1
+        k0, k1, page = (t.column(i).to_numpy() for i in (1, 2, 4))
+        hits, ks = [], []
+        for k in range(side + 1):
+            some = np.flatnonzero((k0 <= k) & (k <= k1))
+            if not len(some):
+                continue
+            h, p = left[k, some] ^ (right[side - k, some] * MULT), page[some]
+            order = np.lexsort((p, h))
+            hs, ps = h[order], p[order]
             first = np.flatnonzero(np.append(True, hs[1:] != hs[:-1]))
             size = np.diff(np.append(first, len(hs)))
             low, high = np.repeat(ps[first], size), np.repeat(ps[np.append(first[1:], len(hs)) - 1], size)
-            hit = order[(ps > low) if later else (low != high)]
-            rows.append(hit)
+            hit = some[order[(ps > low) if later else (low != high)]]
+            hits.append(hit)
             ks.append(np.full(len(hit), k, np.int32))
-        row, k = np.concatenate(rows), np.concatenate(ks)
+        row, k = np.concatenate(hits), np.concatenate(ks)
         if not len(row):
             return None
-        places = t.column(3)
+        places = t.column(6)
         off = places.offsets.to_numpy()
         flat = places.values.to_numpy()
         n = np.diff(off)[row]
@@ -175,14 +187,14 @@ def compare(grouped: DataFrame, least: int, later: bool) -> DataFrame:
         size = 0
         for b in batches:
             while b.num_rows:
-                stem = b.column(0).to_numpy()
-                if held and stem[0] != held[-1].column(0)[-1].as_py() and size >= HOT:
+                key = b.column(0).to_numpy()
+                if held and key[0] != held[-1].column(0)[-1].as_py() and size >= ROWS:
                     out = flush(held)
                     held, size = [], 0
                     if out is not None:
                         yield out
-                # as far as the batch's last stem begins, if enough is held
-                cut = int(np.searchsorted(stem, stem[-1])) if size + b.num_rows >= HOT else b.num_rows
+                # as far as the batch's last key begins, if enough is held
+                cut = int(np.searchsorted(key, key[-1])) if size + b.num_rows >= ROWS else b.num_rows
                 cut = cut or b.num_rows
                 held.append(b.slice(0, cut))
                 size += cut
@@ -192,7 +204,7 @@ def compare(grouped: DataFrame, least: int, later: bool) -> DataFrame:
             if out is not None:
                 yield out
 
-    return apply(grouped.select("stem", "page", "around", "places"), go, "page bigint, lo int, hi int")
+    return apply(dealt(rows, "key").select(NAMES), go, "page bigint, lo int, hi int")
 
 
 def runs(page: np.ndarray, begin: np.ndarray, least: int) -> pa.RecordBatch:
@@ -205,21 +217,52 @@ def runs(page: np.ndarray, begin: np.ndarray, least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(page[first]), pa.array(begin[first].astype(np.int32)), pa.array((begin[last] + least).astype(np.int32))], ["page", "lo", "hi"])
 
 
-def hot_runs(hot: DataFrame, least: int, later: bool) -> DataFrame:
-    """The same for stems with many contexts: a partial aggregate of each alignment's stretches, without any group in one task."""
+def split_keys(rows: DataFrame, least: int) -> DataFrame:
+    """Each context twice: a stretch takes half of the key's range of left words or more, and so they agree on those, or less, and so they agree on more right ones."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        left, right = halves(b, least)
+        side, at = len(left) - 1, np.arange(b.num_rows)
+        k0, k1 = b.column(1).to_numpy(), b.column(2).to_numpy()
+        mid = (k0 + k1 + 1) // 2
+        out = []
+        for lo, hi in ((k0, mid - 1), (mid, k1)):
+            key, full = (mix(left[x, at] ^ (right[side - y, at] * MULT) ^ mix((lo * (side + 1) + hi).astype(U))) for x, y in ((lo, hi), (hi, lo)))
+            out.append(pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), *b.columns[3:7], pa.array(signed(full))], [*NAMES, "full"]))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+
+    return map_arrow(rows.select(*NAMES, "full"), run, f"{KEYED}, full bigint")
 
-    def spread(b: pa.RecordBatch) -> pa.RecordBatch:
-        _, stretches = alignments(b, least)
-        m, n = stretches.shape
-        return pa.RecordBatch.from_arrays(
-            [pa.array(signed(stretches.ravel())), b.column(1).take(pa.array(np.tile(np.arange(n), m))), pa.array(np.repeat(np.arange(m), n).astype(np.int32)), b.column(3).take(pa.array(np.tile(np.arange(n), m)))],
-            ["stretch", "page", "k", "places"],
-        )
 
-    rows = checkpoint(map_arrow(hot.select("stem", "page", "around", "places"), spread, "stretch bigint, page bigint, k int, places array<int>"))
-    ends = rows.groupBy("stretch").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low <> high")
-    hit = rows.join(ends, "stretch").where("page > low" if later else "true")
-    return hit.select("page", F.explode("places").alias("at"), "k").select("page", (F.col("at") - F.col("k")).alias("lo"), (F.col("at") - F.col("k") + least).alias("hi"))
+def shared_runs(around: DataFrame, least: int, later: bool, hot: int) -> DataFrame:
+    """(page, lo, hi) of all contexts. A key of more than ``hot`` is split by halves of its alignments, again and again, each
+    half under a key of more words. Before that an aggregate finds contexts that agree in all words the key's alignments take
+    (``full``): those share one run, and only the first and last text's go on, so a passage that many texts have costs each
+    of them a few rows.
+    """
+    side = widths(least)[0] - 1
+    now = around.select(F.col("stem").alias("key"), F.lit(0).alias("k0"), F.lit(side).alias("k1"), "stem", "page", "around", "places", F.xxhash64("around").alias("full"))
+    leaves, out = [], []
+    while True:
+        many = checkpoint(now.groupBy("key").count().where(F.col("count") > hot).select("key"))
+        if many.isEmpty():
+            leaves.append(now.select(NAMES))
+            break
+        leaves.append(now.join(many, "key", "left_anti").select(NAMES))
+        rest = now.join(many, "key", "left_semi")
+        same = rest.groupBy("key", "full").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low <> high")
+        rest = checkpoint(rest.join(same, ["key", "full"], "left").select(*NAMES, "full", "low", "high"))
+        hit = rest.where("page > low" if later else "low IS NOT NULL")
+        out.append(hit.select("page", F.explode("places").alias("at"), "k0", "k1").select("page", (F.col("at") - F.col("k1")).alias("lo"), (F.col("at") - F.col("k0") + least).alias("hi")))
+        on = rest.where("k0 < k1").where("low IS NULL OR page = low" if later else "low IS NULL OR page = low OR page = high")
+        now = checkpoint(split_keys(on, least))
+    every = leaves[0]
+    for x in leaves[1:]:
+        every = every.unionByName(x)
+    spans = compare(every, least, later)
+    for x in out:
+        spans = spans.unionByName(x)
+    return spans
 
 
 def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -251,15 +294,7 @@ def repeats(docs: DataFrame, least: int = LEAST, later: bool = False, hot: int =
     places = sparse.join(shared, "stem", "left_semi").groupBy("page").agg(F.collect_set("at").alias("places"))
     places = places.join(pages.groupBy("page").agg(F.min(key).alias("rep")), "page")
     around = checkpoint(contexts(docs, places, least, text, key))
-    many = checkpoint(around.groupBy("stem").count().where(F.col("count") > hot).select("stem"))
-    if many.isEmpty():
-        usual, hot_part = around, None
-    else:
-        usual, hot_part = around.join(many, "stem", "left_anti"), hot_runs(around.join(many, "stem", "left_semi"), least, later)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = compare(usual.repartition(n, "stem").sortWithinPartitions("stem"), least, later)
-    if hot_part is not None:
-        spans = spans.unionByName(hot_part)
+    spans = shared_runs(around, least, later, hot)
     copies = pages.groupBy("page").agg(F.min(key).alias("least"), F.max(key).alias("most"), F.max("words").alias("words")).where(F.col("words") >= least).where("least <> most")
     by_page = spans.groupBy("page").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
     joined = by_page.join(copies, "page", "full").select("page", "spans", "least", "words")
