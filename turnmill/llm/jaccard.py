@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, apply, checkpoint, lists, map_arrow, mix, signed
+from .common import U, Words, apply, checkpoint, dealt, lists, map_arrow, mix, signed
 from .components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -276,11 +276,10 @@ def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Buckets with the same sets are one; a large one has their number as ``runs``, so that their sets go on as often.
     """
-    count = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-    both = checkpoint(rows.join(count, "path"))
     mark = [F.bit_xor(F.xxhash64("set", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
-    once = both.groupBy("path").agg(F.first("n").alias("n"), *mark).groupBy("n", "m1", "m2").agg(F.min("path").alias("path"), F.count("*").cast("int").alias("runs")).select("path", "runs")
-    both = checkpoint(both.join(once, "path"))
+    buckets = rows.groupBy("path").agg(F.count("*").alias("n"), *mark).where("n > 1")
+    once = buckets.groupBy("n", "m1", "m2").agg(F.min("path").alias("path"), F.count("*").cast("int").alias("runs")).select("path", "runs", "n")
+    both = checkpoint(rows.join(once, "path"))
     return both.where(F.col("n") <= SMALL).select("path", "set"), both.where(F.col("n") > SMALL).drop("n")
 
 
@@ -353,8 +352,7 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
         members = members.unionByName(x)
     # the same sets meet in many buckets; each company is compared once
     company = members.groupBy("path").agg(F.sort_array(F.collect_set("set")).alias("members")).select("members").distinct().withColumn("company", F.xxhash64("members"))
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = company.select("company", F.explode("members").alias("set")).join(sketches, "set").repartition(n, "company").sortWithinPartitions("company")
+    rows = dealt(company.select("company", F.explode("members").alias("set")).join(sketches, "set"), "company")
     edges = apply(rows.select("company", "set", "size", "sketch"), stream(["company"], bucket_edges(runs, NEAR)), "a bigint, b bigint")
     for x in found:
         edges = edges.unionByName(x)
@@ -399,8 +397,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, runs: int = RUNS,
     own = F.pmod(F.xxhash64("set"), F.col("blocks").cast("long")).cast("int")
     tokens = token_sets(docs, needed, text, key).withColumn("own", own)
     spread = tokens.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = spread.repartition(n, "family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").select("family", "lo", "hi", "blocks", "own", "set", "copies", "tokens")
+    grouped = dealt(spread, "family", "lo", "hi").select("family", "lo", "hi", "blocks", "own", "set", "copies", "tokens")
     exact = checkpoint(apply(grouped, stream(["family", "lo", "hi"], checked(similar)), "set bigint, links bigint, class bigint, to array<bigint>"))
     linked = exact.groupBy("set").agg(F.sum("links").alias("links"), F.min("class").alias("class"))
     edges = exact.where(F.size("to") > 0).select(F.col("set").alias("a"), F.explode("to").alias("b"))
