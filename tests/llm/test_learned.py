@@ -48,6 +48,21 @@ def test_query_columns(spark):
     assert pii.pii(docs(spark, []).limit(0)).count() == 0
 
 
+def test_model_adds_secrets_and_spellings_and_leaves_clean_text(spark):
+    rng = random.Random(5)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"some words token = \"{hexa(40)}\" and more") for i in range(30)]
+    rows += [(100 + i, f"api_key: {hexa(24)}Z9 then mail bob{i}[At]example[Dot]com please") for i in range(10)]
+    rows += [(200 + i, f"checksum sha256 {hexa(64)} of the file") for i in range(30)] + [(300 + i, "std::vector at 12:30:45, version 1.2.3, token of love") for i in range(10)]
+    rows += [(400, "host fe80::1ff:fe23:4567:890a is up"), (401, "password = changeme_example_value"), (402, "0" * 500 + "1.2.3.4 is an address"), (403, "1000.2.3.4 none")]
+    df = docs(spark, rows).selectExpr("*", "1 AS spans", "2 AS base", "3 AS n_spans")
+    got = {r.doc_id: r for r in pii.pii(df).collect()}
+    assert all(got[i].n_secret == 1 and got[i].spans.startswith("secret:") for i in range(30))
+    assert all(got[100 + i].n_secret == 1 and "email:" in got[100 + i].spans and got[100 + i].n_email == 0 for i in range(10))
+    assert not any(got[i].n_spans for i in [*range(200, 230), *range(300, 310), 401, 403])
+    assert got[402].n_ip == 1
+
+
 def test_redaction(spark):
     df = docs(spark, [(1, "to me@site.com now", "k"), (2, None, "k")], "doc_id long, text string, base string")
     got = {r.doc_id: (r.text, r.base) for r in pii.redact(df).collect()}
@@ -88,6 +103,16 @@ def test_restores_and_scores(spark):
     assert toxicity.toxicity(df.limit(3), tox.limit(0)).count() == 3
 
 
+def test_long_texts_ties_and_clashing_columns(spark):
+    rows, labels = corpus(120)
+    df = docs(spark, [*rows, (7000, "word " * 200_000 + "1d10t moron idiot stupid loser"), (7001, "word " * 10)]).selectExpr("*", "0.5 AS score", "1 AS predicted", "2 AS label", "3 AS words")
+    tox = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").selectExpr("*", "'x' AS text")
+    got = {r.doc_id: r for r in toxicity.toxicity(df, tox).collect()}
+    assert got[7000].score > got[7001].score and got[7000].predicted == 1
+    none = toxicity.toxicity(df, spark.createDataFrame([(1, 1, 0), (3, 1, 1)] if not toxicity.held_out(1) and not toxicity.held_out(3) else [(2, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int"), threshold=0.5)
+    assert all(r.predicted == int(r.score >= 0.5) for r in none.collect())
+
+
 def test_labels_of_the_held_out_fifth_are_not_used(spark):
     rows, labels = corpus(200)
     flipped = [(i, q, 1 - t if toxicity.held_out(i) else t) for i, q, t in labels]

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of spans that the method adds: wider spellings of those, and secrets, which have no base pattern.
+ALL_KINDS = (*KINDS, "secret")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -23,9 +28,23 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Spellings that the base patterns don't know. Each run is bounded, so a search stays linear.
 LOOSE = {
     "email": re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}|<at>| at |@) ?[a-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}|<dot>| dot |\.) ?[a-z0-9-]{1,63}){1,4}"),
-    "ip": re.compile(r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:])"),
+    "ip": re.compile(r"(?i)(?<![0-9a-z:.])(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}(?![0-9a-z:.])"),
     "phone": re.compile(r"(?<![0-9.+-])(?:\+[0-9]{1,3}[ .-])?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9.-])"),
 }
+#: Secrets: what is assigned to a name that says so, what begins as the keys of known services do, and long hexadecimal strings.
+ASSIGN = re.compile(r"[=:]")
+SECRET_NAME = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|authorization)[\"']?\s{0,8}$")
+SECRET_VALUE = re.compile(r"[=>]?\s{0,8}(?:(?:[Bb]earer|[Bb]asic)\s)?[\"'`]?([^\s\"'`,;<>]{8}[^\s\"'`,;<>]*+)")
+KEY_FORMS = {
+    "AKIA": re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
+    "gh": re.compile(r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{20}[A-Za-z0-9]*+"),
+    "xox": re.compile(r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10}[A-Za-z0-9-]*+"),
+    "sk-": re.compile(r"(?<![A-Za-z0-9])sk-[A-Za-z0-9-]{20}[A-Za-z0-9-]*+"),
+    "eyJ": re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{10}[A-Za-z0-9_-]*+\.[A-Za-z0-9_-]{10}[A-Za-z0-9_.-]*+"),
+}
+HEX = re.compile(r"[0-9a-fA-F]{32}[0-9a-fA-F]*+")
+#: Values that stand for a secret in manuals.
+PLACEHOLDER = re.compile(r"(?i)example|changeme|your[_-]|placeholder|redacted|dummy|xxxx|\*\*\*|\$\{|<")
 #: Common top-level domains, telephone country codes and first digits of payment cards.
 TLDS = frozenset("com net org edu gov mil int info biz io co de fr es it nl be ch at uk eu us ca au jp cn ru br in pl se no dk fi pt ie cz gr mx ar cl".split())
 COUNTRY = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
@@ -35,8 +54,10 @@ CONTEXT = {
     "ip": re.compile(r"(?i)\bip\b|host|server|addr|login|dirección|adresse"),
     "card": re.compile(r"(?i)card|visa|master|credit|debit|tarjeta|carte|karte"),
     "phone": re.compile(r"(?i)phone|tel|call|fax|mobile|whatsapp|contact|anruf|llam|appel"),
+    "secret": re.compile(r"(?i)token|secret|passw|pwd|key|credential|authorization|bearer|login"),
 }
 AGAINST = re.compile(r"(?i)version|chapter|section|isbn|issn|order no|page|score|ratio")
+AGAINST_SECRET = re.compile(r"(?i)sha-?[0-9]|md5|checksum|digest|commit|uuid|hash|revision|etag|fingerprint")
 NEAR = 40
 
 
@@ -70,7 +91,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, kind's rank, end) of the four fixed patterns, sorted."""
     out = [(s, 0, e) for s, e in emails(text)] if "@" in text else []
     for m in IP.finditer(text):
-        if all(len(p) < 400 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -84,21 +105,57 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Candidates for secrets; each pattern reads a character a bounded number of times."""
+    done = 0
+    for m in ASSIGN.finditer(text):
+        at = m.start()
+        if at >= done and SECRET_NAME.search(text, max(0, at - 32), at):
+            v = SECRET_VALUE.match(text, at + 1)
+            if v:
+                done = v.end()
+                yield v.span(1)
+    for begin, form in KEY_FORMS.items():
+        if begin in text:
+            yield from (m.span() for m in form.finditer(text))
+    yield from (m.span() for m in HEX.finditer(text))
+
+
+def is_ipv6(s: str) -> bool:
+    try:
+        return len(s) > 3 and bool(ipaddress.IPv6Address(s))
+    except ValueError:
+        return False
+
+
 def loose_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
-    """Candidates of the wider patterns that touch no base span."""
+    """Candidates of the wider patterns that touch no base span, and secrets, which may hold one; of secrets that overlap, the one that begins first, the longer of those."""
     found = []
-    low = text.lower() if ("at" in text or "AT" in text) else text
+    low = text.lower() if re.search(r"[aA][tT]", text) else ""
     if re.search(r"[(\[{< ](?:at|dot)[)\]}> ]", low) and ("dot" in low or "(at)" in low or "[at]" in low or "{at}" in low or "<at>" in low):
         found += [(m.start(), 0, m.end()) for m in LOOSE["email"].finditer(text) if re.search(r"(?i)[(\[{<]at[)\]}>]|[(\[{< ]dot[)\]}> ]", m.group())]
-    if text.count(":") >= 7:
-        found += [(m.start(), 1, m.end()) for m in LOOSE["ip"].finditer(text)]
+    if "::" in text or text.count(":") >= 7:
+        found += [(m.start(), 1, m.end()) for m in LOOSE["ip"].finditer(text) if is_ipv6(m.group())]
     found += [(m.start(), 3, m.end()) for m in LOOSE["phone"].finditer(text)]
-    return sorted(x for x in found if not any(x[0] < e and s < x[2] for s, _, e in base))
+    done = 0
+    for s, e in sorted(secrets(text), key=lambda x: (x[0], -x[1])):
+        if s >= done:
+            found.append((s, 4, e))
+            done = e
+    if not base:
+        return sorted(found)
+    starts, ends = [x[0] for x in base], list(accumulate((x[2] for x in base), max))
+
+    def free(s: int, e: int) -> bool:
+        i = bisect_left(starts, e)  # base spans that begin before the candidate's end
+        return not i or ends[i - 1] <= s
+
+    return sorted(x for x in found if x[1] == 4 or free(x[0], x[2]))
 
 
 def vote(text: str, start: int, kind: int, end: int, strict: bool) -> str:
     """Kind and the labelers' votes: ``+`` personal, ``-`` not, ``0`` abstains."""
-    span, name = text[start:end], KINDS[kind]
+    span, name = text[start:end], ALL_KINDS[kind]
     before, after = text[max(0, start - NEAR) : start], text[end : end + 8]
     d = digits_of(span)
     if kind == 0:
@@ -112,25 +169,34 @@ def vote(text: str, start: int, kind: int, end: int, strict: bool) -> str:
     elif kind == 2:
         gaz = "+" if d[0] in CARD_STARTS else "0"
         shape = "-" if len(set(d)) < 3 else "+"
+    elif kind == 4:
+        letters = sum(c.isalpha() for c in span)
+        gaz = "-" if PLACEHOLDER.search(span) else "+" if any(f.fullmatch(span) for f in KEY_FORMS.values()) else "0"
+        mixed = gaz != "-" and len(set(span)) >= 8 and 0 < letters < len(span)
+        shape = "-" if not mixed else "0" if HEX.fullmatch(span) else "+"  # a hexadecimal string may be a digest as well
+        strict = gaz == "+" or gaz != "-" and bool(SECRET_NAME.search(text[max(0, start - 40) : start].rstrip("\"'`=:> \t")))
     else:
         gaz = "+" if strict and any(d[:k] in COUNTRY for k in (1, 2)) else "0" if strict else "-" if d[0] in "01" and len(d) == 10 and d[:2] != "01" else "0"
         shape = "+" if 9 <= len(d) <= 15 else "-"
-    context = "+" if CONTEXT[name].search(before) else "-" if AGAINST.search(before) else "0"
+    against = (AGAINST_SECRET if kind == 4 else AGAINST).search(before)
+    context = "+" if CONTEXT[name].search(before) and not (kind == 4 and against) else "-" if against else "0"
     glued = (start > 0 and text[start - 1].isalnum()) or (after[:1].isalnum())
-    return f"{name}{'=' if strict else '~'}{'+' if strict else '0'}{shape}{gaz}{context}{'-' if glued else '0'}"
+    return f"{name}{'=' if strict and kind < 4 else '~'}{'+' if strict else '0'}{shape}{gaz}{context}{'-' if glued else '0'}"
 
 
 def fit(patterns: list[tuple[str, int]], rounds: int = 50) -> dict[str, float]:
     """Reliabilities by expectation-maximisation over the labelers' patterns, then a logistic span classifier on them.
 
     All kinds share the labelers; the classifier's inputs are the votes, the kind and the candidate's source, its
-    targets the posteriors, its weights the counts over the whole corpus.
+    targets the posteriors, its weights the cube roots of the counts over the whole corpus, so that the commonest pattern
+    doesn't fit the others'.
     """
     if not patterns:
         return {}
     names = sorted(patterns)
     votes = np.array([["-0+".index(c) for c in p.split("=" if "=" in p else "~")[1]] for p, _ in names])
     n = np.array([c for _, c in names], float)
+    loose = np.array(["~" in p for p, _ in names]).astype(int)
     post = np.clip(0.5 + 0.2 * (votes - 1).sum(1), 0.05, 0.95)
     for _ in range(rounds):
         score = []
@@ -138,10 +204,12 @@ def fit(patterns: list[tuple[str, int]], rounds: int = 50) -> dict[str, float]:
             said = np.stack([(w[:, None] * (votes == k)).sum(0) + 5 * prior[k == 0] for k in (0, 2)])
             chance = np.zeros((3, votes.shape[1]))
             chance[[0, 2]] = np.log(said / said.sum(0))
-            # neither class is taken to be rarer than one in ten, so that a corpus of plain cases leaves objections their weight
-            score.append(math.log(np.clip(w.sum() / n.sum(), 0.1, 0.9)) + chance[votes, np.arange(votes.shape[1])].sum(1))
+            # base spans and others have a share of each class of their own, and neither is taken to be rarer than one in ten, so
+            # that a corpus of plain cases leaves objections their weight
+            share = np.array([(w[loose == k].sum() + 1) / (n[loose == k].sum() + 2) for k in (0, 1)])
+            score.append(np.log(np.clip(share, 0.1, 0.9))[loose] + chance[votes, np.arange(votes.shape[1])].sum(1))
         post = 1 / (1 + np.exp(np.clip(score[1] - score[0], -40, 40)))
-    x = np.concatenate([votes == 2, votes == 0, [[p.startswith(k) for k in KINDS] + ["~" in p, True] for p, _ in names]], axis=1).astype(float)
+    x = np.concatenate([votes == 2, votes == 0, [[p.startswith(k) for k in ALL_KINDS] + ["~" in p, True] for p, _ in names]], axis=1).astype(float)
     theta, weight = np.zeros(x.shape[1]), np.cbrt(n) / np.cbrt(n).sum()
     for _ in range(1500):
         p = 1 / (1 + np.exp(-x @ theta))
@@ -150,7 +218,7 @@ def fit(patterns: list[tuple[str, int]], rounds: int = 50) -> dict[str, float]:
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    return ",".join(f"{ALL_KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -171,7 +239,7 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 
 def learn(found: DataFrame) -> dict[str, float]:
-    """Probability of each vote pattern; the driver sees the distinct patterns (at most 8 x 3^5) and their counts."""
+    """Probability of each vote pattern; the driver sees the distinct patterns (at most 9 x 3^5) and their counts."""
     every = F.concat("patterns", F.transform("loose", lambda x: F.element_at(F.split(x, ":", 4), 4)))
     return fit([(r[0], r[1]) for r in found.select(F.explode(every).alias("pattern")).groupBy("pattern").count().collect()])
 
@@ -187,26 +255,30 @@ def chosen(base: list[str], loose: list[str], model: dict[str, float], threshold
 
 
 def pii(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.9) -> DataFrame:
-    """Per row: base counts by kind, ``base_sha256`` of the base spans, and ``spans``, base and added ones.
+    """Per row: base counts by kind, ``base_sha256`` of the base spans, ``spans``, base and added ones, and the number of all
+    spans and of secrets.
 
     Null and empty texts have no spans. Repeated rows are searched one by one; spans that start together are in the order
-    of ``KINDS``. Offsets are code points, ends exclusive. Base spans always stay; the classifier decides about others.
+    of ``ALL_KINDS``. Offsets are code points, ends exclusive. Base spans always stay; the classifier decides about others.
     """
     found = checkpoint(find(docs, text, key))
     model = learn(found)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[] for _ in range(8)]
         for base, loose in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             first, spans = chosen(base, loose, model, threshold)
             for k in range(4):
                 out[k].append(sum(x[1] == k for x in first))
             out[4].append(hashlib.sha256(joined(first).encode()).hexdigest())
             out[5].append(joined(spans))
-        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in out[:4]), *(pa.array(x, pa.string()) for x in out[4:])], [key, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            out[6].append(len(spans))
+            out[7].append(sum(x[1] == 4 for x in spans))
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
+        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], [key, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "n_secret"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_arrow(found.select(key, "base", "loose"), run, f"`{key}` {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string")
+    return map_arrow(found.select(key, "base", "loose"), run, f"`{key}` {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string, n_spans bigint, n_secret bigint")
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -214,7 +286,7 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     out, at = [], 0
     for s, k, e in spans:
         if s >= at:
-            out += [text[at:s], f"[{KINDS[k].upper()}]"]
+            out += [text[at:s], f"[{ALL_KINDS[k].upper()}]"]
         at = max(at, e)
     return "".join(out) + text[at:]
 

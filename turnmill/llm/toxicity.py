@@ -211,7 +211,9 @@ def train_rows(labels: DataFrame, rows: int, key: str = "doc_id", label: str = "
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 10_000, max_features: int = 1_000, text: str = "text", key: str = "doc_id") -> ToxicModel:
-    """A character model from all rows' texts and a classifier from at most ``rows`` labelled ones.
+    """A character model from all rows' texts and a classifier from at most ``rows`` labelled ones. Its inputs are the
+    ``max_features`` restored words and beginnings that tell most (count times log odds); more of them change the score little
+    and make the driver's table of ``rows`` by ``max_features`` floats larger.
 
     The driver gets 28^3 counts and the distinct words of the sampled rows. The sample's keys are broadcast; ``rows`` bounds
     them. Without labelled rows, or with one class alone, the score is the smoothed share of toxic labels.
