@@ -13,52 +13,101 @@ from pyspark.sql import functions as F
 from .common import Words, checkpoint, map_arrow, signed
 from .urls import with_parts
 
-#: Tokens that a repeated run has at least.
-RUN = 6
+#: Tokens that a repeated run has at least; it is boilerplate if it is on this share of its host's pages, or on so many.
+RUN, SHARE, PAGES = 10, 0.2, 20
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|canvas|textarea|select|math|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr2>[^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after another, values and all, so that nothing inside a quoted value is taken for an attribute.
+ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Fixed values of HTML: elements that begin and end a block, that hold no content, and that are page furniture.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav footer aside form button menu dialog head title label fieldset input option datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert alertdialog dialog form".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertisements advertising banner sponsor sponsored promo sidebar menu nav navbar navigation footer header masthead topbar cookie cookies consent gdpr notice notices popup modal overlay comment comments disqus replies share sharing social related breadcrumb breadcrumbs newsletter subscribe subscription widget toolbar pagination pager skip".split())
+#: Words that may stand beside a name in a class without changing what it says; with any other word it is something else.
+BESIDE = frozenset("site page main top bottom left right primary secondary global box block bar container wrapper wrap list item items link links section area slot unit inner outer user reader buttons button bottom sticky fixed mobile desktop level form reply thread posts stories bar1 1 2 3 4".split())
 ARTICLE = frozenset(("article", "main"))
+#: Elements whose end tag may be left out, and what ends them then: any block, or the next element of the kind.
+IMPLIED = frozenset("li dt dd option tr td th".split())
+
+
+def names_furniture(value: str) -> bool:
+    """Whether one of the class names, taken whole, is a known name, alone or beside words that don't change it."""
+    for name in value.lower().split():
+        parts = [x for x in re.split(r"[-_]+", name) if x]
+        if not NAMES.isdisjoint(parts) and all(x in NAMES or x in BESIDE for x in parts):
+            return True
+    return False
 
 
 def is_furniture(tag: str, attr: str, inside: bool) -> bool:
     """Menus, headers, footers, sidebars, notices, adverts, forms and reader comments, by element, role, class or id."""
     if tag in FURNITURE or (tag == "header" and not inside):
         return True
-    if tag in ARTICLE or tag in ("body", "html") or not attr or "=" not in attr and "hidden" not in attr:
+    if tag in ARTICLE or tag in ("body", "html") or not attr or "=" not in attr and "hidden" not in attr.lower():
         return False
     for m in ATTR.finditer(attr):
-        name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
+        name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
         if name == "role":
-            if value in ROLES:
+            if value.strip().lower() in ROLES:
                 return True
         elif name == "hidden":
             return True
         elif name == "aria-hidden":
-            if value == "true":
+            if value.strip().lower() == "true":
                 return True
-        elif not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        elif name in ("class", "id") and names_furniture(value):
             return True
     return False
 
 
+def tags(source: str) -> tuple[list[tuple[int, int, str, bool, str]], list[int]]:
+    """(start, end, element, closing, attributes) of each piece of markup, and for each start tag the place of its end tag (-1: none).
+
+    An end tag closes the last open start tag of its element, so one that is never closed takes no other's end.
+    """
+    found, ends = [], []
+    waiting: dict[str, list[int]] = {}
+    for i, m in enumerate(TOKEN.finditer(source)):
+        tag = (m.group("tag") or m.group("tag2") or "").lower()
+        closing = bool(m.group("close") or m.group("close2"))
+        found.append((m.start(), m.end(), tag, closing, m.group("attr") or m.group("attr2") or ""))
+        ends.append(-1)
+        if tag and not closing:
+            waiting.setdefault(tag, []).append(i)
+        elif tag and waiting.get(tag):
+            ends[waiting[tag].pop()] = i
+    return found, ends
+
+
+def past(i: int, found: list, ends: list[int], limit: int) -> int:
+    """The piece of markup at which the skipped element that piece ``i`` begins is over; ``limit``: its parent's end."""
+    tag = found[i][2]
+    if 0 <= ends[i] < limit:
+        return ends[i] + 1
+    for j in range(i + 1, limit):
+        other, closing = found[j][2], found[j][3]
+        if (tag == "p" and other in BLOCKS) or (tag in IMPLIED and other == tag) or (other in ARTICLE and not closing) or (closing and other in ("body", "html")):
+            return j
+    return limit
+
+
 def blocks(source: str) -> tuple[list[str], list[str]]:
-    """Text blocks inside article or main elements, and those that no markup decides about, in page order."""
+    """Text blocks inside article or main elements, and those that no markup decides about, in page order.
+
+    Furniture is skipped to its end tag. One that has none within its parent ends with the parent, or where an article begins.
+    """
     core: list[str] = []
     open_: list[str] = []
     parts: list[str] = []
+    found, ends = tags(source)
+    parents: list[int] = []  # where the elements that we are in end
     inside = 0  # depth of article and main elements
-    skip, depth = "", 0
-    at = 0
+    at = i = 0
 
     def flush() -> None:
         if parts:
@@ -67,25 +116,16 @@ def blocks(source: str) -> tuple[list[str], list[str]]:
                 (core if inside else open_).append(text)
             parts.clear()
 
-    for m in TOKEN.finditer(source):
-        if not skip and m.start() > at:
-            parts.append(source[at : m.start()])
-        at = m.end()
-        tag = (m.group("tag") or m.group("tag2") or "").lower()
+    while i < len(found):
+        start, end, tag, closing, attr = found[i]
+        if start > at:
+            parts.append(source[at:start])
+        at = end
+        while parents and parents[-1] <= i:
+            parents.pop()
+        i += 1
         if not tag:
             continue
-        closing = bool(m.group("close") or m.group("close2"))
-        if skip:
-            if skip == "p" and tag in BLOCKS and not (closing and tag == "p"):
-                skip = ""  # a block ends a paragraph that nothing closed; it is read as usual below
-            else:
-                if tag == skip:
-                    depth += -1 if closing else 1
-                elif closing and tag in ("body", "html"):
-                    depth = 0
-                if depth <= 0:
-                    skip = ""
-                continue
         if closing:
             if tag in BLOCKS:
                 flush()
@@ -94,12 +134,15 @@ def blocks(source: str) -> tuple[list[str], list[str]]:
             if tag in ARTICLE and inside:
                 inside -= 1
             continue
-        attr = m.group("attr") or m.group("attr2") or ""
+        limit, skipped = parents[-1] if parents else len(found), i - 1
         if is_furniture(tag, attr, inside > 0):
             if tag in BLOCKS or tag in FURNITURE:
                 flush()
             if tag not in VOID and not attr.endswith("/"):
-                skip, depth = tag, 1
+                i = past(i - 1, found, ends, limit)
+                at = found[i][0] if i < len(found) else len(source)
+                if found[i - 1][3] and ends[skipped] == i - 1:
+                    at = found[i - 1][1]
             continue
         if tag in BLOCKS:
             flush()
@@ -107,7 +150,9 @@ def blocks(source: str) -> tuple[list[str], list[str]]:
             parts.append(" ")
         if tag in ARTICLE:
             inside += 1
-    if not skip and at < len(source):
+        if i - 1 < ends[i - 1] < limit:
+            parents.append(ends[i - 1])
+    if at < len(source):
         parts.append(source[at:])
     flush()
     return core, open_
@@ -117,31 +162,39 @@ def suffixes(pages: DataFrame, run: int = RUN) -> DataFrame:
     """(host, page, prefix, at): each suffix of the token streams that markup leaves undecided, cut to its first ``run`` tokens.
 
     Suffixes with the same prefix stand together in the host's suffix array; how they go on doesn't matter for which
-    tokens a repeat of ``run`` or more covers, so the array is sorted to that depth and no further.
+    tokens a repeat of ``run`` or more covers, so the array is sorted to that depth and no further. A page has one suffix at
+    least (null prefix), so that a host's pages can be counted.
     """
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
-        streams = []
+        streams, some = [], []
         for source in b.column(2).to_pylist():
             core, open_ = blocks(source or "")
             streams.append("" if core else " ".join(open_))
+            some.append(not core and bool(open_))
         w = Words(pa.array(streams, pa.string()))
         grams, first = w.grams(run)
         doc = w.doc[first]
         begin = np.searchsorted(w.doc, np.arange(b.num_rows))
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(signed(grams)), pa.array((first - begin[doc]).astype(np.int32))], ["host", "page", "prefix", "at"])
+        once = np.flatnonzero(some)
+        rows = pa.array(np.concatenate([doc, once]))
+        prefix = pa.concat_arrays([pa.array(signed(grams)), pa.nulls(len(once), pa.int64())])
+        return pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), prefix, pa.array(np.concatenate([first - begin[doc], np.zeros(len(once), int)]).astype(np.int32))], ["host", "page", "prefix", "at"])
 
     return map_arrow(pages.select("host", "page", "html"), work, "host string, page bigint, prefix bigint, at int", "html")
 
 
 def covered(pages: DataFrame, run: int = RUN) -> DataFrame:
-    """(page, at array): where a run of tokens begins that another page of the same host has too.
+    """(page, at array): where a run of tokens begins that two or more pages of the host have, at
+    least ``SHARE`` of the host's undecided pages or ``PAGES`` of them do.
 
-    Which runs repeat is a partial aggregate (least and greatest page), so a run that every page of a hot host has costs
-    a row for each task; a page's own runs come back together, as many as the page has tokens.
+    Pages are counted by a partial aggregate, a run and page once, so a run that every page of a hot host has is spread over
+    the tasks first; a page's own runs come back together, as many as the page has tokens.
     """
     found = checkpoint(suffixes(pages, run))
-    again = found.groupBy("host", "prefix").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo <> hi").select("host", "prefix")
+    each = found.select("host", "prefix", "page").distinct().groupBy("host", "prefix").agg(F.count("*").alias("n"))
+    size = each.where("prefix IS NULL").select("host", F.greatest(F.lit(2.0), F.least(F.lit(float(PAGES)), F.col("n") * SHARE)).alias("needed"))
+    again = each.where("prefix IS NOT NULL AND n > 1").join(size, "host").where("n >= needed").select("host", "prefix")
     return found.join(again, ["host", "prefix"], "left_semi").groupBy("page").agg(F.collect_set("at").alias("at"))
 
 
