@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); a component's name is its least node.
 
     Alternating large and small stars: each round hangs every node's neighbours on the least of them, so the depth shrinks
-    geometrically. Each round's edges go to the shared folder; the driver sees their number and a checksum. Self-loops and
+    geometrically; an error tells if ``rounds`` of them don't end it. Each round's edges go to the shared folder; the driver sees their number and a checksum. Self-loops and
     repeated edges don't matter; null ends are ignored; no edges give no nodes.
     """
     clean = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
     loops = clean.where("lo = hi").select("lo")
     now = checkpoint(clean.where("lo < hi").distinct())
     seen = None
-    for _ in range(rounds):
+    for left in range(rounds, -1, -1):
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
             break
+        if not left:
+            raise RuntimeError(f"components: not done after {rounds} rounds")
         seen = mark
         both = now.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(now.select(F.col("hi").alias("a"), F.col("lo").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, looked_up
 
 #: (verdict, host, path) as the contract states them.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -39,13 +41,13 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 30, between: int = 5) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 400, between: int = 10) -> DataFrame:
     """Personalised PageRank of two seedings at once: (host, trust, distrust, exposure).
 
     ``seeds`` (host, trust, distrust) restart a walk; trust follows links, distrust goes against them, split over a host's
     in-links. Exposure is distrust weighed by the shares of a host's own links instead, so it doesn't shrink with the number
     of hosts that link to the same target. Scores are linear in the seeds: a host without neighbours keeps its seed. Every few rounds the ranks go to the shared folder, and the walk
-    ends when their summed change is under ``tolerance`` a host. Only that sum comes to the driver.
+    ends when their summed change is under ``tolerance`` a host; ``rounds`` without that are an error. Only that sum comes to the driver.
     """
     if edges.isEmpty():
         return seeds.select("host", "trust", "distrust", F.col("distrust").alias("exposure"))
@@ -58,11 +60,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
     steps = checkpoint(forward.unionByName(back).unionByName(own))
     nodes = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct().join(seeds, "host", "left").na.fill(0.0)
     rank = checkpoint(nodes.select("host", F.explode(F.array(*(F.struct(F.lit(way).alias("way"), F.col(c).alias("seed")) for way, c in enumerate(("trust", "distrust", "distrust"))))).alias("x")).select("host", "x.way", "x.seed", F.col("x.seed").alias("rank")))
-    n = rank.count()
+    n, change = rank.count(), math.inf
     for k in range(1, rounds + 1):
         flow = steps.join(rank.where("rank > 0").select("way", F.col("host").alias("a"), "rank"), ["way", "a"]).groupBy("way", F.col("b").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
         new = rank.join(flow, ["way", "host"], "left").select("host", "way", "seed", (F.col("seed") + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"), F.col("rank").alias("before"))
-        if k % between and k < rounds:
+        if k % between:
             rank = new.drop("before")
             continue
         new = checkpoint(new)
@@ -70,6 +72,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
         rank = new.drop("before")
         if change < tolerance * max(n, 1):
             break
+    else:
+        raise RuntimeError(f"propagate: ranks still change by {change} after {rounds} rounds")
     pick = lambda way: F.max(F.when(F.col("way") == way, F.col("rank")))
     return rank.groupBy("host").agg(pick(0).alias("trust"), pick(1).alias("distrust"), pick(2).alias("exposure"))
 
@@ -88,8 +92,37 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     seeds = judged.groupBy("host").agg(
         (F.count_if(F.col("__said") == "allow") / F.count("*")).alias("trust"), (F.count_if(F.col("__said") == "block") / F.count("*")).alias("distrust")
     )
-    scores = propagate(host_edges(parts), seeds)
+    scores = checkpoint(propagate(host_edges(parts), seeds))
     own = F.when((F.col("exposure") >= threshold) & (F.col("exposure") > F.col("trust")) & (F.col("host") != ""), "block").otherwise("allow")
-    return judged.drop("html").join(scores, "host", "left").select(
+    return looked_up(judged.drop("html"), scores, "host", key, "left").select(
         key, "host", "path", "rule", F.coalesce("__said", own).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
     )
+
+
+def oracle(table: str, rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = 0.5, damping: float = 0.85, steps: int = 120) -> str:
+    """DuckDB SQL of ``url_filter``: the walk's terms one after another, as a recursive query."""
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, kind) for kind, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1], r[2]))]
+    rule = " ".join(f"WHEN {f} THEN '{name}'" for f, name, _ in fits)
+    said = " ".join(f"WHEN {f} THEN '{kind}'" for f, _, kind in fits)
+    lower = f"translate(coalesce(html, ''), '{ASCII_UP}', '{ASCII_LOW}')"
+    return f"""
+WITH RECURSIVE cut AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM {table}),
+parts AS (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{ASCII_UP}', '{ASCII_LOW}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+judged AS (SELECT page_id, host, path, CASE {rule} END AS rule, CASE {said} END AS said FROM parts),
+seeds AS (SELECT host, count(*) FILTER (said = 'allow') / count(*) AS trust, count(*) FILTER (said = 'block') / count(*) AS distrust FROM judged GROUP BY host),
+links AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all({lower}, '{LINK.replace("'", "''")}', 1))) AS dst FROM parts WHERE host <> ''),
+edges AS (SELECT src, dst, count(*) AS n FROM links WHERE src <> dst GROUP BY ALL),
+ways AS (
+  SELECT 0 AS way, src AS a, dst AS b, n / sum(n) OVER (PARTITION BY src) AS share FROM edges
+  UNION ALL SELECT 1, dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges
+  UNION ALL SELECT 2, dst, src, n / sum(n) OVER (PARTITION BY src) FROM edges),
+walk AS (
+  SELECT 0 AS k, way, host, CASE way WHEN 0 THEN trust ELSE distrust END AS x FROM seeds, (VALUES (0), (1), (2)) AS v(way)
+  UNION ALL SELECT k + 1, walk.way, b, {damping}::DOUBLE * sum(x * share) FROM walk JOIN ways ON ways.way = walk.way AND a = host
+  WHERE k < {steps} AND x > 0 GROUP BY k, walk.way, b),
+scores AS (SELECT host, sum(x) FILTER (way = 0) AS trust, sum(x) FILTER (way = 1) AS distrust, sum(x) FILTER (way = 2) AS exposure FROM walk GROUP BY host)
+SELECT page_id, host, path, rule,
+  coalesce(said, CASE WHEN exposure >= {threshold} AND exposure > coalesce(trust, 0) AND host <> '' THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(trust, 0.0)::DOUBLE AS trust, coalesce(distrust, 0.0)::DOUBLE AS distrust
+FROM judged LEFT JOIN scores USING (host)
+"""
