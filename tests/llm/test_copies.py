@@ -8,7 +8,7 @@ import pytest
 from brute import near, repeats, shingles
 from pyspark.sql import functions as F
 
-from turnmill.llm import jaccard, mixing, suffixes
+from turnmill.llm import common, jaccard, mixing, suffixes
 from turnmill.llm.components import components
 
 
@@ -36,6 +36,12 @@ def test_components_equal_union_find(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_that_are_not_done_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(edges, rounds=1)
+
+
 # ----------------------------------------------------------------------- jaccard
 @pytest.fixture(scope="module")
 def crowd():
@@ -203,5 +209,5 @@ def test_many_sources_take_the_salted_join(spark, monkeypatch):
     rows = [(i, "x" * (1 + i % 7), f"s{i % 5}") for i in range(300)] + [(1, "xx", "s1")]
     df = docs(spark, rows, "doc_id long, text string, source string")
     usual = sorted(map(str, mixing.mixed(df).collect()))
-    monkeypatch.setattr(mixing, "SOURCES", 0)
+    monkeypatch.setattr(common, "LOOKUP_ROWS", 0)
     assert sorted(map(str, mixing.mixed(df).collect())) == usual

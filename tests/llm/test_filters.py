@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from brute import local_alignment, pagerank, quality_counts
 
-from turnmill.llm import decontaminate, html, quality, tokens, urls
+from turnmill.llm import common, decontaminate, html, quality, tokens, urls
 from turnmill.llm.common import Words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -60,12 +60,35 @@ def test_propagation_equals_brute_force(spark):
     seeds = {f"h{i}": (0.5 if i < 4 else 0.0, 1.0 if i > 27 else 0.0) for i in range(31)}
     e = spark.createDataFrame([(*k, n) for k, n in edges.items()], "src string, dst string, links long")
     s = spark.createDataFrame([(h, *x) for h, x in seeds.items()], "host string, trust double, distrust double")
-    got = {r.host: (r.trust, r.distrust) for r in urls.propagate(e, s, tolerance=1e-9, rounds=120).collect()}
+    got = {r.host: (r.trust, r.distrust) for r in urls.propagate(e, s).collect()}
     trust = pagerank(edges, {h: x[0] for h, x in seeds.items()})
     distrust = pagerank({(b, a): n for (a, b), n in edges.items()}, {h: x[1] for h, x in seeds.items()})
     assert all(abs(got[h][0] - trust[h]) < 1e-5 and abs(got[h][1] - distrust[h]) < 1e-5 for h in seeds)
 
 
+def test_walks_that_do_not_end_are_an_error(spark):
+    e = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, links long")
+    s = spark.createDataFrame([("a", 1.0, 0.0), ("b", 0.0, 1.0)], "host string, trust double, distrust double")
+    got = {r.host: r.trust for r in urls.propagate(e, s).collect()}
+    assert abs(got["a"] - 1 / (1 - 0.85**2)) < 1e-4 and abs(got["b"] - 0.85 / (1 - 0.85**2)) < 1e-4
+    with pytest.raises(RuntimeError):
+        urls.propagate(e, s, rounds=20)
+
+
+def test_many_hosts_take_the_salted_join(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 7}.net/x" if i % 3 else None, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS path", "3 AS rule", "4 AS trust")
+    usual = sorted(map(str, urls.url_filter(df).collect()))
+    monkeypatch.setattr(common, "LOOKUP_ROWS", 0)
+    assert sorted(map(str, urls.url_filter(df).collect())) == usual and len(usual) == 60
+
+
+def test_long_html_is_read_to_its_end(spark):
+    rows = [(1, "http://k.x/", "<p>" + "y " * 400_000 + "<a href=http://evil.example.com/de/>"), (2, "http://evil.example.com/de/", "")]
+    got = {r.host: r.verdict for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {"k.x": "block", "evil.example.com": "block"}
+
+
 def test_links_carry_trust_and_distrust(spark):
     rows = [
         (1, "http://good.org/fr/", "<a href='http://a.x/1'>"), (2, "http://a.x/", '<A class=k HREF="//b.x/">'), (3, "http://evil.example.com/de/", ""),
@@ -133,11 +156,46 @@ def test_edited_copies_beside_many_verbatim_ones_are_found(spark):
     assert {r.doc_id for r in got.collect()} == {*range(300), 1000, 1001, 1002, 1003}
 
 
+def test_whole_query_equals_brute_force(spark):
+    """Every document against every item without windows; a pair needs a run of ``SEED`` common words to be a candidate."""
+    rng = random.Random(14)
+    voc = [f"w{k}" for k in range(60)]
+    items = [(i + 0.5, " ".join(rng.choice(voc) for _ in range(rng.randint(5, 30)))) for i in range(12)]
+    rows = []
+    for i in range(120):
+        w = [rng.choice(voc) for _ in range(rng.randint(0, 40))]
+        if i % 2:
+            x = rng.choice(items)[1].split()
+            for _ in range(rng.randint(0, len(x) // 3)):
+                x[rng.randrange(len(x))] = f"e{rng.randrange(99)}"
+            w[rng.randint(0, len(w)) : 0] = x
+        rows.append((i, " ".join(w)))
+    rows.append((500, "z " * 300_000 + items[0][1]))
+    want = set()
+    n = decontaminate.SEED
+    for d, t in rows[:-1]:
+        b = t.split()
+        for i, x in items:
+            a = x.split()
+            runs = {tuple(a[k : k + n]) for k in range(len(a) - n + 1)}
+            if any(tuple(b[k : k + n]) in runs for k in range(len(b) - n + 1)):
+                score = local_alignment(a, b) / (decontaminate.MATCH * len(a))
+                if score >= 0.6:
+                    want.add((d, i, round(score, 9)))
+    df = docs(spark, rows).selectExpr("*", "0 AS item_id", "'k' AS score", "1 AS first_word")
+    bench = spark.createDataFrame(items, "item_id double, text string").selectExpr("*", "1 AS doc_id", "2 AS seed")
+    got = decontaminate.contaminated(df, bench)
+    assert dict(got.dtypes)["item_id"] == dict(decontaminate.contaminated(df, bench.limit(0)).dtypes)["item_id"] == "double"
+    found = {(r.doc_id, r.item_id, round(r.score, 9)) for r in got.collect()}
+    assert (500, 0.5, 1.0) in found and {x for x in found if x[0] != 500} == want
+    assert decontaminate.clean(df, bench).columns == df.columns
+
+
 # ----------------------------------------------------------------------- quality
 def test_counts_equal_brute_force(spark):
     rng = random.Random(5)
     rows = ODD + [(10 + i, "".join(rng.choice(["a ", "b ", "c\n", "ü ", "# ", "a b c d e f ", "line\n", "\r", "\n"]) for _ in range(rng.randint(0, 80)))) for i in range(200)]
-    got = quality.quality(docs(spark, rows).withColumnRenamed("x", "y")).collect()
+    got = quality.quality(docs(spark, rows).selectExpr("*", "1 AS n_words", "2 AS kept", "3 AS pattern", "4 AS votes")).collect()
     want = sorted(repr((i, *quality_counts(t))) for i, t in rows)
     assert sorted(repr((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)) for r in got) == want
     assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in got)
@@ -206,12 +264,72 @@ def test_other_tokenizers(spark, name):
         ("plain &lt;text&gt;", [], ["plain <text>"]),
         ("<article>open <b>never closed", ["open never closed"], []),
         ("<div role=navigation><div>a</div></div><div>b</div>", [], ["b"]),
+        ("<article><p title='the hidden truth'>a<p data-x='see id=ad'>b<p hidden>c<p class='code-comment'>d<p class=notice-of-meeting>e</article>", ["a", "b", "d", "e"], []),
+        ("<article><div class='article-header'><h1>a</h1></div>Let <math><mi>x</mi></math> be <object>b</object><canvas>c</canvas></article>", ["a", "Let x be bc"], []),
+        ("<div><aside>s<p>t</div><article>a</article>", ["a"], []),
+        ("<body><aside>s<article>a<aside>t</aside>b</article><p>c", ["a", "b"], ["c"]),
+        ("<article><ul><li class=ad>x<li>y</ul><div class='site-footer'>f</div><div class='comment-list'><article>c</article></div>z</article>", ["y", "z"], []),
+        ("<nav>n<nav>m</nav>o</nav><div class='sidebar left'>s</div>t", [], ["t"]),
     ],
 )
 def test_blocks(page, core, rest):
     assert html.blocks(page) == (core, rest)
 
 
+def test_random_pages_equal_brute_force():
+    """Well-formed pages built from a tree, whose text is read off the tree."""
+    rng = random.Random(9)
+
+    def furniture():
+        return rng.choice(["nav", "footer", "aside", "form", "div class='ad'", "div id=cookie-banner", "section role='search'", "ul class='menu main'", "p aria-hidden=true"])
+
+    def tree(depth, inside, out, buffer):
+        html_ = []
+
+        def flush():
+            if "".join(buffer).strip():
+                out.append(" ".join("".join(buffer).split()))
+            buffer.clear()
+
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if kind < 0.4:
+                x = rng.choice(["some ", "words &amp; more ", "x\n y ", "<b>bold</b> ", "a<!-- <nav> -->b "])
+                html_.append(x)
+                buffer.append(re.sub("<[^>]*>", "", x.replace("<!-- <nav> -->", "").replace("&amp;", "&")))
+            elif kind < 0.6:
+                name = furniture()
+                tag = name.split()[0]
+                flush()
+                html_.append(f"<{name}>gone <i>too</i>{'<div>in</div>' if tag != 'p' else ''}</{tag}>")
+            elif depth:
+                name = rng.choice(["div", "section title='nav > aside'", "ul", "blockquote data-k=\"class='ad'\"", "div class='menu-card of-day'"])
+                flush()
+                html_.append(f"<{name}>")
+                html_.append(tree(depth - 1, inside, out, buffer))
+                flush()
+                html_.append(f"</{name.split()[0]}>")
+        return "".join(html_)
+
+    for k in range(300):
+        out, buffer = [], []
+        body = tree(3, True, out, buffer)
+        if "".join(buffer).strip():
+            out.append(" ".join("".join(buffer).split()))
+        assert html.blocks(f"<body><header>h</header><article>{body}</article><footer>f</footer></body>") == (out, [])
+        assert html.blocks(f"<body><header>h</header>{body}<footer>f</footer></body>") == ([], out)
+
+
+def test_an_article_that_two_pages_show_stays(spark):
+    story = " ".join(f"s{k}" for k in range(80))
+    menu = " ".join(f"m{k}" for k in range(12))
+    rows = [(i, f"http://h.x/{i}", f"<div>{menu}</div><div>{story if i < 2 else ' '.join(f'u{i}x{k}' for k in range(30))}</div>") for i in range(20)]
+    rows.append((99, "http://h.x/long", "<div>" + "q " * 200_000 + f"</div><div>{menu}</div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS page", "3 AS at", "4 AS text")
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert got[0] == got[1] == story and not any("m3" in t for t in got.values()) and got[99].count("q") == 200_000
+
+
 def test_host_repeats_go_and_articles_stay(spark):
     menu = "<div>Start page of the site with links to all parts</div>"
     page = lambda i: f"<body>{menu}<p>{' '.join(f'u{i}x{k}' for k in range(9))}</p></body>"

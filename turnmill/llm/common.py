@@ -19,15 +19,19 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one kernel call holds at most, unless a single row is longer.
 SLICE_BYTES = 4 << 20
-#: Bytes a lookup table may have to be sent to every task.
-BROADCAST_BYTES = 16 << 20
+#: Rows (of some 100 bytes) that a lookup table may have to be broadcast; places of each row of a larger table.
+LOOKUP_ROWS, SALTS = 50_000, 32
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one, but only if
+    there are no executors on other machines, which couldn't read it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="turnmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnmill-"))
     return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -59,6 +63,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def looked_up(df: DataFrame, table: DataFrame, on: str, spread: str, how: str = "inner") -> DataFrame:
+    """``df`` joined to a table with one row a key. The table is counted: a small one is broadcast, so that a key that holds a
+    third of all rows stays spread over the tasks that read it; each row of a larger one goes to ``SALTS`` places."""
+    if table.count() <= LOOKUP_ROWS:
+        return df.join(F.broadcast(table), on, how)
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [on, "__salt"], how).drop("__salt")
+
+
 def slices(batch: pa.RecordBatch, text: str | None, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the text column of each slice has about ``limit`` bytes; a longer row stands alone."""
     if text is None or batch.num_rows < 2:

@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import PUNCT, U, Words, checkpoint, map_arrow, mix
 
@@ -149,7 +151,7 @@ def seed_frequencies(docs: DataFrame, items: Items, text: str) -> DataFrame:
     return map_arrow(docs.select(text), run, "seed bigint, docs bigint", text).groupBy("seed").agg(F.sum("docs").alias("docs"))
 
 
-def matches(docs: DataFrame, items: Items, rare: np.ndarray, threshold: float, text: str, key: str) -> DataFrame:
+def matches(docs: DataFrame, items: Items, rare: np.ndarray, threshold: float, text: str, key: str, kind_of_item: T.DataType) -> DataFrame:
     """(key, item, score, first word, past-last word) of every alignment that reaches the threshold, in one pass."""
     is_rare = member(rare, items.grams)
 
@@ -196,8 +198,7 @@ def matches(docs: DataFrame, items: Items, rare: np.ndarray, threshold: float, t
             [key, "item_id", "score", "first_word", "end_word"],
         )
 
-    whole = all(isinstance(x, int) or x is None for x in items.ids)
-    item_type, item_sql = (pa.int64(), "bigint") if whole else (pa.string(), "string")
+    item_type, item_sql = to_arrow_type(kind_of_item), kind_of_item.simpleString()
     kind = docs.schema[key].dataType.simpleString()
     return map_arrow(docs.select(key, text), one, f"`{key}` {kind}, item_id {item_sql}, score double, first_word bigint, end_word bigint", text)
 
@@ -210,7 +211,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     reach the threshold.
     Words are compared in lower case without ASCII punctuation. Null and empty texts have no words and match nothing;
     items under ``SEED`` words match exactly. Repeated documents each get their rows; repeated items with one id are one.
-    A document may match several items. Empty tables give an empty result.
+    A document may match several items; ``item_id`` has the benchmark's type. Empty tables give an empty result.
     """
     kind = docs.schema[key].dataType.simpleString()
     out = None
@@ -221,7 +222,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
         # as many rows as the block has seeds, so bounded by BLOCK_BYTES
         common = seed_frequencies(docs, items, text).where(F.col("docs") > max(RARE_LEAST, RARE_SHARE * n_docs)).select("seed").toArrow().column(0).to_numpy()
         rare = np.setdiff1d(items.seeds, np.sort(common.astype(np.int64).view(U)))
-        part = matches(docs, items, rare, threshold, text, key)
+        part = matches(docs, items, rare, threshold, text, key, benchmark.schema[item].dataType)
         out = part if out is None else out.unionByName(part)
     if out is None:
         item_sql = benchmark.schema[item].dataType.simpleString()

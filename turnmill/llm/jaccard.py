@@ -427,3 +427,21 @@ def one_of_each(docs: DataFrame, similar: float = SIMILAR, text: str = "text", k
     # keys with several rows: equal texts once
     twice = out.where("__rows > 1").dropDuplicates([key, text])
     return out.where("__rows = 1").unionByName(twice).select(*names)
+
+
+def oracle(table: str, similar: float = SIMILAR, size: int = SHINGLE) -> str:
+    """DuckDB SQL of ``near_duplicates``: all pairs that share a shingle. For small tables."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
+s AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) >= {size} THEN list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(w[i:i + {size - 1}], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+one AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE c >= {similar} * (x.n + y.n - c) - 1e-9),
+links AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+class AS (SELECT reach.a AS r, min(doc_id) AS class_id FROM reach JOIN d ON d.r = reach.b GROUP BY 1),
+degree AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY 1)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM d JOIN class USING (r) LEFT JOIN degree USING (r)
+"""

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, looked_up
 
 #: Largest mean that one inversion handles; a larger one is a sum of independent equal parts, which is Poisson again.
 PART = 8.0
 #: Terms of the cumulative sum for a mean of at most ``PART``: what lies beyond has a chance under 1e-17.
 TERMS = 48
-#: Sources that a table may have to be broadcast (some 100 bytes each); places of a source's rate in a larger table.
-SOURCES, SALTS = 50_000, 32
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -45,20 +43,11 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, text: str, source:
     )
 
 
-def with_rates(docs: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """``docs`` joined to the sources' rates. The table is counted: a small one is broadcast, so that a source that holds a
-    third of all rows stays spread over the tasks that read it; of a larger one each row goes to ``SALTS`` places."""
-    if table.count() <= SOURCES:
-        return docs.join(F.broadcast(table), "__source")
-    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return docs.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["__source", "__salt"]).drop("__salt")
-
-
 def replicated(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 1234, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """All columns of ``docs`` plus ``rate``, ``copy_no`` (from 0), ``n_copies`` and ``shuffle_key``; unsorted."""
     names = docs.columns
     out = docs.withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit("")))
-    out = with_rates(out, checkpoint(rates(docs, weights, text, source)), key)
+    out = looked_up(out, checkpoint(rates(docs, weights, text, source)), "__source", key)
     m = F.greatest(F.ceil(F.col("__rate") / PART).cast("int"), F.lit(1))
     one = F.col("__rate") / m
     ident = (F.lit(str(seed)), F.col(key), F.col("__source"))
@@ -75,7 +64,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, seed: int =
     ``weights``: target share of each source in the mixture's code points (any positive scale; sources that it doesn't
     name get none); None: all sources alike. The mixture is expected to be as large as ``docs``. A null source is a
     source of its own, ''. Null and empty texts count no code points; a source without any code points gets no copies.
-    Repeated rows with the same key and source get the same number. An empty table gives an empty result. Columns of
+    A source with few code points is repeated often: its rate is its target size over its own, and a row's copies are made
+    where the row is read, one row after another. Repeated rows with the same key and source get the same number. An empty table gives an empty result. Columns of
     ``docs`` that are named like the added ones are replaced by those.
     """
     docs = docs.drop("rate", "copy_no", "n_copies", "shuffle_key")

@@ -59,4 +59,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.oracle("documents")}
+    return {"op1_urls": urls.oracle("pages"), "op6_jaccard": jaccard.oracle("documents"), "op7_mixing": mixing.oracle("documents"), "op8_repeats": suffixes.oracle("documents")}

@@ -340,3 +340,20 @@ def without_repeats(docs: DataFrame, least: int = LEAST, text: str = "text", key
         return pa.RecordBatch.from_arrays(cols, names)
 
     return map_arrow(rows, run, docs.schema, text)
+
+
+def oracle(table: str, least: int = LEAST) -> str:
+    """DuckDB SQL of ``repeats``: the text of every window of ``least`` words. For small tables."""
+    return f"""
+WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM {table}),
+t AS (SELECT t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) <> max(doc_id) AS copies FROM d GROUP BY t),
+win AS (SELECT t, k, array_to_string(w[k + 1:k + {least}], ' ') AS g FROM (SELECT t, w, unnest(range(0, len(w) - {least - 1})) AS k FROM t WHERE len(w) >= {least})),
+hit AS (SELECT t, k FROM win JOIN (SELECT g FROM win GROUP BY g HAVING min(t) <> max(t)) USING (g)),
+cut AS (SELECT t, k, sum(CASE WHEN k > before + {least} THEN 1 ELSE 0 END) OVER (PARTITION BY t ORDER BY k) AS run
+  FROM (SELECT t, k, lag(k) OVER (PARTITION BY t ORDER BY k) AS before FROM hit)),
+runs AS (SELECT t, min(k) AS lo, max(k) + {least} AS hi FROM cut GROUP BY t, run),
+every AS (
+  SELECT t, lo, hi FROM runs JOIN t USING (t) WHERE NOT coalesce(copies, false)
+  UNION ALL SELECT t, 0, len(w) FROM t WHERE copies AND len(w) >= {least})
+SELECT doc_id, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS end_word, CAST(hi - lo AS BIGINT) AS n_words FROM d JOIN every USING (t)
+"""
