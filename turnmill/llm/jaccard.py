@@ -20,6 +20,9 @@ RUNS = 24
 BRANCH, DEPTH = 1.5, 5
 #: Sets of a bucket that are compared by brute force; sets of a block in the exact check.
 SMALL, BLOCK = 64, 2048
+#: Sets that no centre of a large bucket reached and that are compared with all of the bucket by brute force, in parts of about
+#: as many of its other sets; more go on.
+REST = 512
 #: Estimated similarities: two sets of a bucket from ``NEAR`` on belong to one family. In a large bucket a set joins the family
 #: of a centre from ``REACH`` on and leaves the bucket from ``CLOSE`` on: what is near a set that left is within reach of the
 #: same centre, since estimated distances obey the triangle inequality too (1 - REACH >= (1 - NEAR) + (1 - CLOSE)).
@@ -288,7 +291,8 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
 
     A small bucket is compared by brute force on the sketches. In a large one every set is compared with three centres: it
     is joined to those within reach, leaves the bucket if it is close to one, and else goes on along tokens sampled by the
-    path, the first of them at least; a bucket that its centres hold together as one family is done. The set with the shortest sketch is a centre, so one without tokens left to go on by
+    path, the first of them at least. Where the centres hold all sets but a few together as one family, those few are compared
+    with each set of the bucket and the bucket is done. The set with the shortest sketch is a centre, so one without tokens left to go on by
     is compared with the whole bucket. A bucket that is still large after ``DEPTH`` steps becomes one family: the exact
     check sorts it out.
     """
@@ -341,10 +345,15 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
         found.append(out.select(F.col("set").alias("a"), first.alias("b")).where("b <> 0").distinct())
         kinds = out.where("mask in (3, 5, 6, 7)").groupBy("bucket", "mask").agg(F.min_by(F.struct("set", "near"), "set").alias("x"))
         found.append(kinds.select(F.col("x.set").alias("a"), F.explode("x.near").alias("b")).where("b <> 0"))
-        # every set of the bucket is joined to a centre, and the centres to each other: nothing is left to find there
-        has = [F.max((F.col("mask") == k).cast("int")) for k in (7, 3, 5, 6, 0)]
-        done = out.groupBy("bucket").agg(((has[4] == 0) & ((has[0] == 1) | (has[1] + has[2] + has[3] >= 2))).alias("done")).where("done").select("bucket")
-        onward = out.where(F.size("paths") > 0).join(done, "bucket", "left_anti").select("set", F.explode(F.arrays_zip("paths", "uses")).alias("x"))
+        # all sets that a centre reached are one family if the centres are joined to each other too; then only the others are left,
+        # and a few of those are compared with every set of the bucket, in buckets of a part of the family each
+        has = [F.max((F.col("mask") == k).cast("int")) for k in (7, 3, 5, 6)]
+        state = out.groupBy("bucket").agg(((has[0] == 1) | (has[1] + has[2] + has[3] >= 2)).alias("held"), F.count_if(F.col("mask") == 0).alias("rest"), F.count("*").alias("n"))
+        done = checkpoint(state.where(F.col("held") & (F.col("rest") <= REST)).select("bucket", "rest", F.ceil((F.col("n") - F.col("rest")) / F.greatest(F.lit(SMALL), "rest")).cast("int").alias("parts")))
+        few = out.join(done.where("rest > 0"), "bucket").select("bucket", "set", "mask", "parts")
+        part = F.when(F.col("mask") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("set"), F.col("parts").cast("long")).cast("int")))
+        lists_.append(few.select("bucket", "set", F.explode(part).alias("part")).select(F.xxhash64("bucket", "part", F.lit(depth)).alias("path"), "set"))
+        onward = out.where(F.size("paths") > 0).join(done.select("bucket"), "bucket", "left_anti").select("set", F.explode(F.arrays_zip("paths", "uses")).alias("x"))
         small, large = split(onward.select("set", F.col("x.paths").alias("path"), F.col("x.uses").alias("used")))
         lists_.append(small)
     members = lists_[0]
