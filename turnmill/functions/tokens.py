@@ -58,3 +58,63 @@ def round_trips(load: Callable[[], Tokenizer], end: str) -> Callable[[Column], C
         return pd.Series([held[0].decode(ids) == w for ids, w in zip(held[0].encode_batch(want), want, strict=True)])
 
     return check
+
+
+def from_file(path: str) -> Callable[[], Tokenizer]:
+    """A loader of a tokenizer file, ``.json`` or ``.model``, without begin, end or added special tokens. It travels by value."""
+
+    def load() -> Tokenizer:
+        class File:
+            def __init__(self) -> None:
+                if path.endswith(".model"):
+                    import sentencepiece
+
+                    t = sentencepiece.SentencePieceProcessor(model_file=path)
+                    self.encode_batch, self.decode = lambda texts: t.encode(texts), lambda ids: t.decode(ids)
+                else:
+                    import tokenizers
+
+                    t = tokenizers.Tokenizer.from_file(path)
+                    t.no_truncation()
+                    t.no_padding()
+                    self.encode_batch = lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+                    self.decode = lambda ids: t.decode(ids, skip_special_tokens=False)
+
+        return File()
+
+    return load
+
+
+ENCODED = "ids array<bigint>, labels array<bigint>, whole boolean, prompt boolean, decoded boolean"
+
+
+def segment_encoder(load: Callable[[], Tokenizer], prompt: str) -> Callable[[Column, Column], Column]:
+    """Ids and labels of a message from its segments' texts and which of them are scored, and three checks: the joined text
+    has the same ids (no token crosses a cut), what is masked before the scored ids is the encoded ``prompt``, and the
+    scored ids decode to the scored text."""
+    held: list[Tokenizer] = []
+    ignore = IGNORE
+
+    @F.pandas_udf(ENCODED)
+    def encode(texts: pd.Series, scored: pd.Series) -> pd.DataFrame:
+        if not held:
+            held.append(load())
+        t = held[0]
+        flat = [x for row in texts for x in row]
+        each = iter(t.encode_batch(flat))
+        wholes = t.encode_batch(["".join(row) for row in texts])
+        prefix = t.encode_batch([prompt])[0]
+        rows = []
+        for row, marks, whole in zip(texts, scored, wholes, strict=True):
+            ids, labels = [], []
+            for _, mark in zip(row, marks, strict=True):
+                part = next(each)
+                ids += part
+                labels += part if mark else [ignore] * len(part)
+            kept = [x for x in labels if x != ignore]
+            before = next((i for i, x in enumerate(labels) if x != ignore), 0)
+            want = "".join(x for x, mark in zip(row, marks, strict=True) if mark)
+            rows.append((ids, labels, ids == whole, not kept or ids[:before] == prefix, t.decode(kept) == want if kept else True))
+        return pd.DataFrame(rows, columns=["ids", "labels", "whole", "prompt", "decoded"])
+
+    return encode

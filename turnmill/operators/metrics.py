@@ -16,16 +16,19 @@ def running_best(evals: DataFrame, value: str = "loss") -> DataFrame:
 def strikes(evals: DataFrame, delta: float, value: str = "loss") -> DataFrame:
     """``strikes`` at each evaluation: the length of the trailing run above the best so far by more than ``delta``.
 
-    The best is that of the evaluation at hand, so earlier ones are judged anew. Because it only falls, an earlier value
-    is no strike now if it is at most best + delta: the last such place is found in the values so far, one array a run
-    (a run's evaluations are few; its steps are not read).
+    The best is that of the evaluation at hand, so earlier ones are judged anew. It only falls, and where it falls the
+    evaluation itself is no strike: so the last place without one is a running maximum, and two windows do.
     """
     w = Window.partitionBy("run").orderBy("step")
-    n = F.row_number().over(w)
-    so_far = F.collect_list(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    x = evals.withColumn("n", n).withColumn("__v", so_far).withColumn("best", F.array_min("__v"))
-    last = F.array_max(F.transform("__v", lambda v, i: F.when(v <= F.col("best") + delta, i + 1).otherwise(0)))
-    return x.withColumn("strikes", (F.col("n") - last).cast("long")).drop("__v", "n")
+    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = evals.withColumn("__n", F.row_number().over(w)).withColumn("best", F.min(value).over(up_to))
+    last = F.max(F.when(F.col(value) <= F.col("best") + delta, F.col("__n"))).over(up_to)
+    return x.withColumn("strikes", (F.col("__n") - F.coalesce(last, F.lit(0))).cast("long")).drop("__n")
+
+
+def memory_fit(points: DataFrame, length: str, used: str) -> DataFrame:
+    """One row: ``slope``, ``intercept`` and ``n`` of the least-squares line of memory over length; null without two lengths."""
+    return points.agg(F.regr_slope(used, length).alias("slope"), F.regr_intercept(used, length).alias("intercept"), F.regr_count(used, length).alias("n"))
 
 
 def early_stop(evals: DataFrame, delta: float = 0.0018, patience: int = 3, value: str = "loss") -> DataFrame:

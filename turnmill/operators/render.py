@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..functions.tokens import IGNORE, n_pieces, pieces, token_id
+from ..functions.tokens import IGNORE, n_pieces, pieces, segment_encoder, token_id
 
 #: The chat format's markers, the text between them, and the instructions of each mode.
 START, END, DOCUMENT_END = "<|im_start|>", "<|im_end|>", "<|endoftext|>"
@@ -115,3 +115,16 @@ def tokenized(messages: DataFrame) -> DataFrame:
     t = segments(messages).withColumn("pieces", flat(one)).withColumn("mask", flat(lambda s: F.array_repeat(s["scored"], F.size(one(s)))))
     t = t.withColumn("ids", F.transform("pieces", token_id))
     return t.withColumn("labels", F.zip_with("ids", "mask", lambda i, m: F.when(m, i).otherwise(F.lit(IGNORE).cast("bigint")))).select("rec_id", "msg_idx", "role", "segments", "pieces", "ids", "labels")
+
+
+def encoded(messages: DataFrame, load, strict: bool = True) -> DataFrame:
+    """Token table by another tokenizer: per message ``ids`` and ``labels``, the checks ``whole``, ``prompt`` and ``decoded``,
+    ``n_tok``, ``n_scored`` and ``reason``. Messages of other roles have no tokens, only a reason."""
+    one = segment_encoder(load, ASSISTANT_PREFIX)
+    known = segments(messages).withColumn("reason", message_reason(messages, strict))
+    x = known.withColumn("t", one(F.transform("segments", lambda s: s["text"]), F.transform("segments", lambda s: s["scored"])))
+    x = x.select("rec_id", "msg_idx", "role", "t.*", "reason").withColumn("n_tok", F.size("ids").cast("long")).withColumn("n_scored", F.size(F.filter("labels", lambda v: v != IGNORE)).cast("long"))
+    other = messages.where(~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)))
+    none, yes, zero = F.array().cast("array<bigint>"), F.lit(True), F.lit(0).cast("long")
+    rest = other.select("rec_id", "msg_idx", "role", none.alias("ids"), none.alias("labels"), yes.alias("whole"), yes.alias("prompt"), yes.alias("decoded"), message_reason(messages, strict).alias("reason"), zero.alias("n_tok"), zero.alias("n_scored"))
+    return x.unionByName(rest)

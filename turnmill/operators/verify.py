@@ -19,8 +19,24 @@ def render_equal(segmented: DataFrame) -> DataFrame:
 
 
 def tokens_equal(tokens: DataFrame) -> DataFrame:
-    """V2: messages whose tokens, segment by segment, don't join to the text they were cut from."""
-    return tokens.where(F.array_join("pieces", "") != F.array_join(F.transform("segments", lambda s: s["text"]), "")).select("rec_id", "msg_idx")
+    """V2: messages whose tokens, segment by segment, differ from those of the texts between markers taken whole: a token
+    crosses a cut."""
+    state = lambda out, text: F.struct(out.alias("out"), text.alias("text"))
+    step = lambda a, s: F.when(s["marker"], state(F.concat(a["out"], pieces(a["text"]), F.array(s["text"])), F.lit(""))).otherwise(state(a["out"], F.concat(a["text"], s["text"])))
+    whole = F.aggregate("segments", state(F.array().cast("array<string>"), F.lit("")), step, lambda a: F.concat(a["out"], pieces(a["text"])))
+    return tokens.where(whole != F.col("pieces")).select("rec_id", "msg_idx")
+
+
+def encoded_faults(encoded: DataFrame) -> DataFrame:
+    """V2, V3, V3b and V4 for a table of ``render.encoded``: messages that fail a check, or score in several stretches or in a user's turn."""
+    at = F.filter(F.sequence(F.lit(1), F.size("labels")), lambda i: F.element_at("labels", i) != IGNORE)
+    one = F.when(F.size("ids") > 0, (F.size(at) == 0) | ((F.col("role") == "assistant") & (F.element_at(at, -1) - F.element_at(at, 1) + 1 == F.size(at)))).otherwise(F.lit(True))
+    return encoded.where(~(F.col("whole") & F.col("prompt") & F.col("decoded") & one)).select("rec_id", "msg_idx", "whole", "prompt", "decoded")
+
+
+def label_ok():
+    """V5 of one sample: labels are -100 or the id, as many as ids."""
+    return (F.size("input_ids") == F.size("labels")) & F.forall(F.arrays_zip("input_ids", "labels"), lambda z: (z["labels"] == IGNORE) | (z["labels"] == z["input_ids"]))
 
 
 def scored_spans(tokens: DataFrame) -> DataFrame:
@@ -40,8 +56,7 @@ def scored_spans(tokens: DataFrame) -> DataFrame:
 
 def label_faults(samples: DataFrame) -> DataFrame:
     """V5: samples whose labels are neither -100 nor the id, or of another length."""
-    ok = (F.size("input_ids") == F.size("labels")) & F.forall(F.arrays_zip("input_ids", "labels"), lambda z: (z["labels"] == IGNORE) | (z["labels"] == z["input_ids"]))
-    return samples.where(~ok).select("rec_id", "piece_no")
+    return samples.where(~label_ok()).select("rec_id", "piece_no")
 
 
 def mask_faults(tokens: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import consume, metrics
-from ..sources.tables import series
+from ..sources.tables import series, table
 from .conversations import query
 
 DELTA, PATIENCE = 0.5, 3
@@ -86,3 +86,9 @@ def run_epochs(spark, sf_dir):
 @query(f"WITH {S} SELECT run, count(*) AS rows, count(*) = 20 AS complete FROM s GROUP BY run")
 def run_complete(spark, sf_dir):
     return metrics.complete(series(spark, sf_dir), 20)
+
+
+@query("SELECT round(regr_slope(value, length(event_type)), 6) AS slope, round(regr_intercept(value, length(event_type)), 6) AS intercept, CAST(regr_count(value, length(event_type)) AS BIGINT) AS n FROM events")
+def memory_fit(spark, sf_dir):
+    points = table(spark, sf_dir, "events").select("value", F.length("event_type").alias("length"))
+    return metrics.memory_fit(points, "length", "value").select(F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "n")

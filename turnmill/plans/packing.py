@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import asdict
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions import tokens
 from ..functions.tokens import PATTERN
 from ..operators import pack, render, select, verify
 from ..options import EMPTY_OUTPUT, PACK_OK, STATS_OK, VERIFY_FAILED, PackOptions
@@ -18,20 +20,29 @@ from ..sources import chat, samples
 def verification(messages: DataFrame) -> dict:
     """Counts of all mask checks over some records' messages; ``ok`` only if something was checked and nothing failed."""
     rows = checkpoint(messages)
-    tokens = checkpoint(render.tokenized(rows))
-    spans = verify.scored_spans(tokens).agg(F.count("*"), F.count_if("prompt_ok"), F.count_if("decoded"), F.count_if("contiguous"), F.count_if(~F.col("assistant"))).first()
+    cut = checkpoint(render.tokenized(rows))
+    spans = verify.scored_spans(cut).agg(F.count("*"), F.count_if("prompt_ok"), F.count_if("decoded"), F.count_if("contiguous"), F.count_if(~F.col("assistant"))).first()
     out = {
         "records": rows.select("rec_id").distinct().count(), "turns": spans[0], "prompt_ok": spans[1], "decoded": spans[2], "contiguous": spans[3], "foreign": spans[4],
-        "render_faults": verify.render_equal(render.segments(rows)).count(), "token_faults": verify.tokens_equal(tokens).count(), "mask_faults": verify.mask_faults(tokens).count(),
+        "render_faults": verify.render_equal(render.segments(rows)).count(), "token_faults": verify.tokens_equal(cut).count(), "mask_faults": verify.mask_faults(cut).count(),
     }
     out["ok"] = out["records"] > 0 and spans[0] == spans[1] == spans[2] == spans[3] and not (spans[4] or out["render_faults"] or out["token_faults"] or out["mask_faults"])
     return out
 
 
+def encoded_verification(tokens: DataFrame) -> dict:
+    """The same for messages that another tokenizer encoded."""
+    faults = verify.encoded_faults(tokens).count()
+    seen = tokens.agg(F.count_distinct("rec_id"), F.count_if(F.col("n_scored") > 0)).first()
+    return {"records": seen[0], "turns": seen[1], "faults": faults, "ok": seen[0] > 0 and not faults}
+
+
 def run(spark: SparkSession, src: str, out: str, options: PackOptions = PackOptions()) -> tuple[int, dict]:
     """Read chat lines, select, verify, pack and write; returns a result code and the manifest.
 
-    Selection looks at thin keys alone; texts are tokenized for selected records only. Verification runs before anything is
+    ``options.tokenizer`` names a tokenizer file; the texts of selected records are then encoded once, and the manifest and the
+    shards' signatures carry digests of the source's lines, the tokenizer and the template. Samples whose labels are neither
+    -100 nor the id are left out. Selection looks at thin keys alone; texts are tokenized for selected records only. Verification runs before anything is
     written and a failure leaves earlier results as they are. With ``resume`` shards whose signature stands are kept.
     """
     records = chat.read(spark, src)
@@ -46,14 +57,21 @@ def run(spark: SparkSession, src: str, out: str, options: PackOptions = PackOpti
     why = order.select("rec_id").join(render.reasons(chosen, strict), "rec_id", "left")
     good = chosen.join(why.where("reason IS NULL").select("rec_id"), "rec_id", "left_semi")
     manifest: dict = {"options": asdict(options), "unparseable": index.where("n_messages < 0").count(), "selected": order.count(), "head": order.where("split = 'head'").count()}
+    load = tokens.from_file(options.tokenizer) if options.tokenizer else None
+    coded = checkpoint(render.encoded(chosen, load, strict)) if load else None
+    template = "".join((render.ASSISTANT_PREFIX, render.END, *render.INSTRUCTIONS.values()))
+    manifest |= {"src_digest": samples.content_digest(spark, src), "template_digest": samples.signature(template), "tokenizer_digest": samples.signature(Path(options.tokenizer).read_bytes() if load else PATTERN)}
     if options.verify:
         sample = select.strided(order, options.verify).select("rec_id")
-        manifest["verification"] = verification(good.join(F.broadcast(sample), "rec_id", "left_semi"))
+        picked = (coded if load else good).join(F.broadcast(sample), "rec_id", "left_semi").join(why.where("reason IS NULL").select("rec_id"), "rec_id", "left_semi")
+        manifest["verification"] = encoded_verification(picked) if load else verification(picked)
         if not manifest["verification"]["ok"]:
             samples.write_manifest(spark, manifest | {"result": "VERIFY_FAILED"}, f"{out}.failed")
             return VERIFY_FAILED, manifest
-    _, base = render.prologue(options.thinking)
-    lengths = pack.per_record(render.lengths(chosen, strict))
+    intro, base = render.prologue(options.thinking)
+    if load:
+        base = len(load().encode_batch([intro])[0])
+    lengths = pack.per_record(coded if load else render.lengths(chosen, strict))
     plans = checkpoint(pack.packed(lengths, options.max_len, options.overlength, base))
     rejected = why.where("reason IS NOT NULL").select("reason").unionByName(plans.where("reason IS NOT NULL").select("reason"))
     manifest["skip_reasons"] = {r[0]: r[1] for r in rejected.groupBy("reason").count().collect()}
@@ -66,13 +84,13 @@ def run(spark: SparkSession, src: str, out: str, options: PackOptions = PackOpti
     if options.overlength == "truncate":
         pieces = pieces.withColumn("n_tok", F.least("n_tok", F.lit(options.max_len)))
     placed = order.select("rec_id", "pos", "shard", "split")
-    signatures = samples.plan_signatures(placed, samples.signature(sorted(asdict(options).items()), PATTERN, render.ASSISTANT_PREFIX, src))
+    signatures = samples.plan_signatures(placed, samples.signature(sorted(asdict(options).items()), *(manifest[k] for k in ("src_digest", "template_digest", "tokenizer_digest"))))
     only = None
     old = samples.done(spark, out) if options.resume else None
     if old is not None:
         only = [r[0] for r in signatures.join(old, ["shard", "signature"], "left_anti").select("shard").collect()]
-    built = pack.assembled(pieces, render.tokenized(good), options.max_len if options.overlength == "truncate" else None)
-    built = built.where(F.exists("labels", lambda x: x != -100)).join(placed, "rec_id")
+    built = pack.assembled(pieces, coded if load else render.tokenized(good), options.max_len if options.overlength == "truncate" else None)
+    built = built.where(F.exists("labels", lambda x: x != -100) & verify.label_ok()).join(placed, "rec_id")
     if only is None or only:
         samples.write(built, out, only)
         signatures = checkpoint(signatures)
