@@ -11,10 +11,9 @@ from .common import U, Words, apply, checkpoint, dealt, map_arrow, mix, signed,
 
 #: Least words of a repeat; words of the gram that minimisers are chosen by; grams in a minimiser's window.
 LEAST, GRAM = 50, 8
-#: Contexts of a key that one task compares together; a key with more is split by longer and longer surroundings.
-HOT = 2_000
-#: Rows that a task compares at a time, unless a key has more.
-ROWS = 20_000
+#: Contexts of a key (some 250 bytes each) that one task compares together; a key with more is split by longer and longer
+#: surroundings. Rows that a task compares at a time, unless a key has more.
+HOT = ROWS = 20_000
 MULT = U(0xD6E8FEB86659FD93)
 
 
