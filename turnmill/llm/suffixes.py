@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, apply, checkpoint, dealt, map_arrow, mix, signed, stash
+from .common import LOOKUP_ROWS, U, Words, apply, checkpoint, dealt, map_arrow, mix, signed, stash
 
 #: Least words of a repeat; words of the gram that minimisers are chosen by; grams in a minimiser's window.
 LEAST, GRAM = 50, 8
@@ -247,6 +247,8 @@ def shared_runs(around: DataFrame, least: int, later: bool, hot: int) -> DataFra
         if many.isEmpty():
             leaves.append(now.select(NAMES))
             break
+        if many.count() <= LOOKUP_ROWS:  # then the contexts needn't be shuffled for it
+            many = F.broadcast(many)
         leaves.append(now.join(many, "key", "left_anti").select(NAMES))
         rest = now.join(many, "key", "left_semi")
         same = rest.groupBy("key", "full").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low <> high")
