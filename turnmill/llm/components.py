@@ -16,8 +16,9 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     repeated edges don't matter; null ends are ignored; no edges give no nodes.
     """
     clean = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    loops = clean.where("lo = hi").select("lo")
-    now = checkpoint(clean.where("lo < hi").distinct())
+    given = checkpoint(clean.distinct())
+    loops = given.where("lo = hi").select("lo")
+    now = given.where("lo < hi")
     seen = None
     for left in range(rounds, -1, -1):
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
@@ -28,11 +29,11 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         seen = mark
         both = now.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(now.select(F.col("hi").alias("a"), F.col("lo").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("hi"), F.col("m").alias("lo")).where("lo < hi").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("hi"), F.col("m").alias("lo")).where("lo < hi")
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(root, "hi").select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("hi")), F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")))).alias("e"))
         now = checkpoint(small.select("e.lo", "e.hi").where("lo < hi").distinct())
     tree = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-    roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-    alone = loops.distinct().select(F.col("lo").alias("node"), F.col("lo").alias("component"))
+    roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("component"))
+    alone = loops.select(F.col("lo").alias("node"), F.col("lo").alias("component"))
     return tree.unionByName(roots).unionByName(alone).groupBy("node").agg(F.min("component").alias("component"))

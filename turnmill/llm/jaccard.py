@@ -27,6 +27,8 @@ REST = 512
 #: of a centre from ``REACH`` on and leaves the bucket from ``CLOSE`` on: what is near a set that left is within reach of the
 #: same centre, since estimated distances obey the triangle inequality too (1 - REACH >= (1 - NEAR) + (1 - CLOSE)).
 NEAR, REACH, CLOSE = 0.5, 0.4, 0.9
+#: Sets that reached two centres or more, by the bits of the centres: the families of those centres are one.
+KINDS = (7, 3, 5, 6)
 SALT = U(0x5851F42D4C957F2D)
 
 
@@ -287,7 +289,7 @@ def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
-    """(a, b): enough edges to hold every family of sets together, by the recursion over buckets.
+    """(a, b): enough edges to hold every family of sets together, by the recursion over buckets; an edge may repeat.
 
     A small bucket is compared by brute force on the sketches. In a large one every set is compared with three centres: it
     is joined to those within reach, leaves the bucket if it is close to one, and else goes on along tokens sampled by the
@@ -342,14 +344,18 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
         out = checkpoint(map_arrow(rows, step, "bucket bigint, set bigint, mask int, near array<bigint>, paths array<bigint>, uses array<array<bigint>>"))
         # a set is joined to its first centre, one set of each kind to the others too; it meets the same centres on many paths
         first = F.when(F.col("mask") % 2 == 1, F.get("near", F.lit(0))).when(F.col("mask") % 4 == 2, F.get("near", F.lit(1))).when(F.col("mask") == 4, F.get("near", F.lit(2)))
-        found.append(out.select(F.col("set").alias("a"), first.alias("b")).where("b <> 0").distinct())
-        kinds = out.where("mask in (3, 5, 6, 7)").groupBy("bucket", "mask").agg(F.min_by(F.struct("set", "near"), "set").alias("x"))
-        found.append(kinds.select(F.col("x.set").alias("a"), F.explode("x.near").alias("b")).where("b <> 0"))
+        found.append(out.select(F.col("set").alias("a"), first.alias("b")).where("b <> 0"))
+        # one aggregate a bucket: a set of each kind, the centres, the sets that no centre reached
+        kinds = [F.min(F.when(F.col("mask") == k, F.col("set"))).alias(f"x{k}") for k in KINDS]
+        centre = [F.max(F.nullif(F.get("near", F.lit(j)), F.lit(0).cast("long"))).alias(f"c{j}") for j in range(3)]
+        state = checkpoint(out.groupBy("bucket").agg(*kinds, *centre, F.count_if(F.col("mask") == 0).alias("rest"), F.count("*").alias("n")))
+        pairs = [F.struct(F.col(f"x{k}").alias("a"), F.col(f"c{j}").alias("b")) for k in KINDS for j in range(3) if k >> j & 1]
+        found.append(state.select(F.explode(F.array(*pairs)).alias("e")).select("e.a", "e.b").where("a <> b"))
         # all sets that a centre reached are one family if the centres are joined to each other too; then only the others are left,
         # and a few of those are compared with every set of the bucket, in buckets of a part of the family each
-        has = [F.max((F.col("mask") == k).cast("int")) for k in (7, 3, 5, 6)]
-        state = out.groupBy("bucket").agg(((has[0] == 1) | (has[1] + has[2] + has[3] >= 2)).alias("held"), F.count_if(F.col("mask") == 0).alias("rest"), F.count("*").alias("n"))
-        done = checkpoint(state.where(F.col("held") & (F.col("rest") <= REST)).select("bucket", "rest", F.ceil((F.col("n") - F.col("rest")) / F.greatest(F.lit(SMALL), "rest")).cast("int").alias("parts")))
+        has = [F.col(f"x{k}").isNotNull().cast("int") for k in KINDS]
+        held = (has[0] == 1) | (has[1] + has[2] + has[3] >= 2)
+        done = state.where(held & (F.col("rest") <= REST)).select("bucket", "rest", F.ceil((F.col("n") - F.col("rest")) / F.greatest(F.lit(SMALL), "rest")).cast("int").alias("parts"))
         few = out.join(done.where("rest > 0"), "bucket").select("bucket", "set", "mask", "parts")
         part = F.when(F.col("mask") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("set"), F.col("parts").cast("long")).cast("int")))
         lists_.append(few.select("bucket", "set", F.explode(part).alias("part")).select(F.xxhash64("bucket", "part", F.lit(depth)).alias("path"), "set"))
@@ -365,7 +371,7 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
     edges = apply(rows.select("company", "set", "size", "sketch"), stream(["company"], bucket_edges(runs, NEAR)), "a bigint, b bigint")
     for x in found:
         edges = edges.unionByName(x)
-    return checkpoint(edges.distinct())
+    return edges
 
 
 def token_sets(docs: DataFrame, needed: DataFrame, text: str, key: str) -> DataFrame:
