@@ -21,9 +21,10 @@ def uniform(*parts: Column | str) -> Column:
 
 def poisson(u: Column, mean: Column) -> Column:
     """The Poisson quantile of ``u``: how many k have P(X <= k) <= u, for a mean of at most ``PART``."""
-    zero = F.struct(F.lit(0).alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"))
-    step = lambda a, k: F.when(a["cdf"] > u, a).otherwise(
-        F.struct(k.alias("k"), (a["p"] * mean / k).alias("p"), (a["cdf"] + a["p"] * mean / k).alias("cdf"))
+    # the state carries u: written into the step, its hash would be taken anew for each term
+    zero = F.struct(F.lit(0).alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"), u.alias("u"))
+    step = lambda a, k: F.when(a["cdf"] > a["u"], a).otherwise(
+        F.struct(k.alias("k"), (a["p"] * mean / k).alias("p"), (a["cdf"] + a["p"] * mean / k).alias("cdf"), a["u"].alias("u"))
     )
     return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), zero, step, lambda a: a["k"])
 
@@ -52,14 +53,16 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, seed: i
     one = F.col("__rate") / m
     ident = (F.lit(str(seed)), F.col(key), F.col("__source"))
     copies = F.when(F.col("__rate") <= 0, F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(1), m), F.lit(0), lambda a, i: a + poisson(uniform(*ident, i), one)))
-    out = out.withColumn("__copies", copies).where("__copies > 0")
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    # an empty array drops a row without copies; a filter would be pushed below the fold and take it twice
+    out = out.withColumn("__copies", copies)
+    out = out.select("*", F.posexplode(F.array_repeat(F.lit(True), F.col("__copies"))).alias("__copy", "__one"))
     order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("__copy").cast("string")).cast("binary"))
     return out.select(*(F.col(f"`{n}`") for n in names), F.col("__rate").alias("rate"), F.col("__copy").alias("copy_no"), F.col("__copies").alias("n_copies"), order.alias("shuffle_key"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 1234, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """Each row as many times as a Poisson number, seeded by its key's hash, says, globally shuffled.
+    """Each row as many times as a Poisson number, seeded by its key's hash, says, globally shuffled: in order of the
+    copies' hashes, dealt to ``spark.sql.shuffle.partitions`` equal ranges of them.
 
     ``weights``: target share of each source in the mixture's code points (any positive scale; sources that it doesn't
     name get none); None: all sources alike. The mixture is expected to be as large as ``docs``. A null source is a
@@ -69,7 +72,10 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, seed: int =
     ``docs`` that are named like the added ones are replaced by those.
     """
     docs = docs.drop("rate", "copy_no", "n_copies", "shuffle_key")
-    return replicated(docs, weights, seed, text, source, key).orderBy("shuffle_key", key, "copy_no")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # equal ranges of a hash need no sample of the rows, which would make all copies twice
+    place = F.shiftright(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * n, 32).cast("int")
+    return replicated(docs, weights, seed, text, source, key).repartitionById(n, place).sortWithinPartitions("shuffle_key", key, "copy_no")
 
 
 def oracle(table: str, seed: int = 1234, columns: tuple[str, ...] = ("doc_id", "source", "text", "lang", "n_chars")) -> str:
