@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, jaccard, mixing, pii, quality, suffixes, tokens, toxicity, urls
+from . import alignment, decontaminate, html, jaccard, mixing, pii, quality, secretscan, suffixes, tokens, toxicity, tries, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,9 +54,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.cross_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.secrets(table(spark, sf_dir, "documents"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_urls, op2_decontaminate, op3_quality, op4_tokens, op5_html, op6_jaccard, op7_mixing, op8_repeats, op9_pii, op10_toxicity)}
+    return {f.__name__: f for f in (op1_urls, op2_decontaminate, op3_quality, op4_tokens, op5_html, op6_jaccard, op7_mixing, op8_repeats, op9_pii, op10_toxicity, op11_alignment, op12_secrets, op13_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_urls": urls.oracle("pages"), "op6_jaccard": jaccard.oracle("documents"), "op7_mixing": mixing.oracle("documents"), "op8_repeats": suffixes.oracle("documents")}
+    return {"op1_urls": urls.oracle("pages"), "op6_jaccard": jaccard.oracle("documents"), "op7_mixing": mixing.oracle("documents"), "op8_repeats": suffixes.oracle("documents"), "op13_trie": tries.oracle("conversations")}
