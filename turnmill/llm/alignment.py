@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,11 @@ from .common import LOOKUP_ROWS, map_arrow, stash, text_bytes
 from .tokens import MEMO, SETTLED, load
 
 #: Links that are held at once; groups with more are taken apart by ranges of A's ids.
-LINKS = 4 << 20
+LINKS = 1 << 20
+#: Bytes of text that a kernel call holds, unless a single row is longer: some twenty numbers a byte are held for it at once.
+SLICE = 1 << 20
+#: Unknown words that are encoded as one text.
+JOINED = 200
 #: Bits of B's ids in a pair, and of A's.
 BITS = 20
 SPECIAL = re.compile(r"<0x([0-9A-F]{2})>")
@@ -97,32 +102,43 @@ class Pair:
 
     def fill(self) -> None:
         self.words.clear()
-        self.flat: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.flat: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64)]  # ids of all known words, each side
         self.off: list[np.ndarray] = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
 
     def learn(self, new: list[str]) -> None:
-        """Both tokenizers' ids of words; the second's after a letter, which is then a token by itself."""
-        second = [ids[1:] for ids in self.b.encode(["a" + x for x in new])]
-        for side, lists in enumerate((self.a.encode(new), second)):
-            n = np.array([len(x) for x in lists], np.int64)
-            self.flat[side] = np.concatenate([self.flat[side], np.fromiter((i for x in lists for i in x), np.int64, int(n.sum()))])
-            self.off[side] = np.concatenate([self.off[side], self.off[side][-1] + np.cumsum(n)])
+        """Both tokenizers' ids of words, ``JOINED`` at a time end to end: a word's start ends a token on either side. White space alone
+        would run into the next word, so it comes last and by itself. The second tokenizer reads the words after a letter, which is
+        then a token of its own."""
+        blank = [x for x in new if x.isspace()]
+        new = [x for x in new if not x.isspace()]
+        chunks = ["".join(new[i : i + JOINED]) for i in range(0, len(new), JOINED)]
+        whole = len(chunks)
+        chunks += blank
+        size = np.cumsum(np.fromiter((len(x.encode()) for x in new), np.int64, len(new)))
+        for k, (side, lists) in enumerate(((self.a, self.a.encode(chunks)), (self.b, [x[1:] for x in self.b.encode(["a" + x for x in chunks])]))):
+            ids = np.fromiter(chain.from_iterable(lists[:whole]), np.int64)
+            ends = np.cumsum(side.size[ids])
+            at = np.searchsorted(ends, size) + 1 if len(new) else size
+            if len(new) and (ends[at - 1] != size).any():
+                raise RuntimeError("a token runs over the start of a word")
+            n = np.concatenate([np.diff(at, prepend=0), np.array([len(x) for x in lists[whole:]], np.int64)])
+            self.flat[k] = np.concatenate([self.flat[k], ids, *(np.array(x, np.int64) for x in lists[whole:])])
+            self.off[k] = np.concatenate([self.off[k], self.off[k][-1] + np.cumsum(n)])
         at = len(self.words)
-        self.words.update(zip(new, range(at, at + len(new)), strict=True))
+        self.words.update(zip(new + blank, range(at, at + len(new) + len(blank)), strict=True))
 
     def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each side: all ids end to end, and how many each text has."""
         rest = [i for i, x in enumerate(texts) if x and (not self.memo or self.odd.search(x))]
         skip = set(rest)
         parts = [[] if i in skip or not x else self.cut(" " + x) for i, x in enumerate(texts)]
-        seen = {w for p in parts for w in p}
         if len(self.words) > MEMO:
             self.fill()
-        new = [w for w in seen if w not in self.words]
+        new = set().union(*parts) - self.words.keys()
         if new:
-            self.learn(new)
+            self.learn(list(new))
         n = np.array([len(p) for p in parts], np.int64)
-        at = np.fromiter((self.words[w] for p in parts for w in p), np.int64, int(n.sum()))
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
         owner = np.repeat(np.arange(len(texts)), n)
         whole = (self.a.encode([" " + texts[i] for i in rest]), self.b.encode([texts[i] for i in rest]))
         out, counts = [], []
@@ -291,7 +307,7 @@ def encoded(docs: DataFrame, a: str, b: str, text: str = "text", key: str = "doc
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_arrow(x, run, f"__row bigint, `{key}` {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<bigint>, times array<bigint>", text, lambda: Pair(a, b))
+    return map_arrow(x, run, f"__row bigint, `{key}` {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<bigint>, times array<bigint>", text, lambda: Pair(a, b), SLICE)
 
 
 def cross_alignment(docs: DataFrame, a: str, b: str, text: str = "text", key: str = "doc_id") -> DataFrame:

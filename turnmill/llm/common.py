@@ -86,13 +86,13 @@ def slices(batch: pa.RecordBatch, text: str | None, limit: int = SLICE_BYTES) ->
         at = to
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str, text: str | None = None, init: Callable | None = None) -> DataFrame:
-    """``mapInArrow`` over bounded slices; ``init()`` runs once a task and its result is the second argument of ``fn``."""
+def map_arrow(df: DataFrame, fn: Callable, schema: str, text: str | None = None, init: Callable | None = None, limit: int = SLICE_BYTES) -> DataFrame:
+    """``mapInArrow`` over slices of about ``limit`` bytes; ``init()`` runs once a task and its result is the second argument of ``fn``."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = init() if init else None
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 out = fn(part, state) if init else fn(part)
                 if out is not None and out.num_rows:
                     yield out
