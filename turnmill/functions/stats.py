@@ -9,16 +9,21 @@ POINTS = {"p01": 0.01, "p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90"
 THRESHOLDS = (2048, 4096, 8192, 16384, 24576, 32768, 65536, 131072)
 
 
-def value_counts(df: DataFrame, value: str) -> DataFrame:
-    """How often each value occurs, and how many are less. A window over distinct values, not over rows."""
-    n = df.groupBy(F.col(value).cast("long").alias("v")).agg(F.count("*").alias("c"))
+def occurrences(weight: str | None) -> F.Column:
+    return F.sum(weight) if weight else F.count("*")
+
+
+def value_counts(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
+    """How often each value occurs, and how many are less. A window over distinct values, not over rows; rows that are counts
+    themselves have a ``weight``."""
+    n = df.groupBy(F.col(value).cast("long").alias("v")).agg(occurrences(weight).alias("c"))
     w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     return n.withColumn("below", F.coalesce(F.sum("c").over(w), F.lit(0)))
 
 
-def distribution(df: DataFrame, value: str) -> DataFrame:
+def distribution(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
     """One row: n, total_tokens, mean (integer), exact quantiles, max; zeros for an empty table."""
-    counts = value_counts(df, value)
+    counts = value_counts(df, value, weight)
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("v") * F.col("c")), F.lit(0)).alias("total"), F.coalesce(F.max("v"), F.lit(0)).alias("max"))
     both = counts.join(F.broadcast(whole), how="right")
 
@@ -33,9 +38,9 @@ def distribution(df: DataFrame, value: str) -> DataFrame:
     )
 
 
-def thresholds(df: DataFrame, value: str, cuts: tuple[int, ...] = THRESHOLDS) -> DataFrame:
+def thresholds(df: DataFrame, value: str, cuts: tuple[int, ...] = THRESHOLDS, weight: str | None = None) -> DataFrame:
     """Per cut: records over it (strictly) and their share, tokens if records were capped, and the share kept."""
-    counts = df.groupBy(F.col(value).cast("long").alias("v")).agg(F.count("*").alias("c"))
+    counts = df.groupBy(F.col(value).cast("long").alias("v")).agg(occurrences(weight).alias("c"))
     cells = []
     for t in cuts:
         cells.append(F.struct(F.lit(t).cast("long").alias("threshold"), F.coalesce(F.sum(F.when(F.col("v") > t, F.col("c")).otherwise(0)), F.lit(0)).alias("over"), F.coalesce(F.sum(F.least(F.col("v"), F.lit(t)) * F.col("c")), F.lit(0)).alias("kept")))

@@ -70,7 +70,7 @@ def from_file(path: str) -> Callable[[], Tokenizer]:
                     import sentencepiece
 
                     t = sentencepiece.SentencePieceProcessor(model_file=path)
-                    self.encode_batch, self.decode = lambda texts: t.encode(texts), lambda ids: t.decode(ids)
+                    self.encode_batch, self.decode, self.offsets = lambda texts: t.encode(texts), lambda ids: t.decode(ids), None
                 else:
                     import tokenizers
 
@@ -79,13 +79,14 @@ def from_file(path: str) -> Callable[[], Tokenizer]:
                     t.no_padding()
                     self.encode_batch = lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
                     self.decode = lambda ids: t.decode(ids, skip_special_tokens=False)
+                    self.offsets = lambda text: [o[0] for o in t.encode(text, add_special_tokens=False).offsets]
 
         return File()
 
     return load
 
 
-ENCODED = "ids array<bigint>, labels array<bigint>, whole boolean, prompt boolean, decoded boolean"
+ENCODED = "ids array<int>, labels array<int>, whole boolean, prompt boolean, decoded boolean"
 
 
 def segment_encoder(load: Callable[[], Tokenizer], prompt: str) -> Callable[[Column, Column], Column]:
@@ -118,3 +119,41 @@ def segment_encoder(load: Callable[[], Tokenizer], prompt: str) -> Callable[[Col
         return pd.DataFrame(rows, columns=["ids", "labels", "whole", "prompt", "decoded"])
 
     return encode
+
+
+def conversation_checker(load: Callable[[], Tokenizer], marks: tuple[str, str, str]) -> Callable[..., Column]:
+    """Whole conversations (roles, texts, ids and labels of their messages) against one encoding of the rendered text: ``whole`` (the
+    same ids), ``prompts`` (what precedes each reply's scored ids is its own prompt, encoded by itself) and ``mask`` (labels set anew from
+    the tokens' offsets are the same, place by place)."""
+    held: list[Tokenizer] = []
+    start, end, prefix = marks
+    ignore = IGNORE
+
+    @F.pandas_udf("whole boolean, prompts boolean, mask boolean")
+    def check(roles: pd.Series, texts: pd.Series, ids: pd.Series, labels: pd.Series) -> pd.DataFrame:
+        if not held:
+            held.append(load())
+        t, out = held[0], []
+        for role, text, own, lab in zip(roles, texts, ids, labels, strict=True):
+            flat, marks = [int(i) for x in own for i in x], [int(i) for x in lab for i in x]
+            rendered, replies, prompts, done = "", [], [], 0
+            for r, c, part, y in zip(role, text, own, lab, strict=True):
+                if r == "user":
+                    rendered += f"{start}user\n{c}{end}\n"
+                else:
+                    first = next((k for k, v in enumerate(y) if v != ignore), len(y))
+                    prompts.append((rendered + prefix, flat[: done + first]))
+                    replies.append((len(rendered) + len(prefix), len(rendered) + len(prefix) + len(c) + len(end)))
+                    rendered += f"{prefix}{c}{end}\n"
+                done += len(part)
+            whole = t.encode_batch([rendered])[0]
+            same = list(whole) == flat
+            asked = t.encode_batch([p for p, _ in prompts]) if prompts else []
+            mask = True
+            if same and getattr(t, "offsets", None):
+                anew = [i if any(s <= o < e for s, e in replies) else ignore for i, o in zip(whole, t.offsets(rendered), strict=True)]
+                mask = anew == marks
+            out.append((same, all(list(a) == b for a, (_, b) in zip(asked, prompts, strict=True)), mask))
+        return pd.DataFrame(out, columns=["whole", "prompts", "mask"])
+
+    return check

@@ -31,15 +31,17 @@ def optional(df: DataFrame, name: str, kind: str) -> Column:
 
 
 def message_reason(df: DataFrame, strict: bool = True) -> Column:
-    """The first reason to reject a message, in order: content type, tool calls, reasoning, control tokens, role."""
+    """The first reason to reject a message, in order: shape, content type, tool calls, reasoning, control tokens, role."""
     role, text = F.col("role"), strip(F.col("content"))
     assistant = role == "assistant"
     odd, calls, thought = optional(df, "content_type", "string"), optional(df, "tool_calls", "boolean"), optional(df, "reasoning", "string")
+    shape = optional(df, "shape", "string")
     control = F.lit(False)
     for k in FORBIDDEN if strict else ():
         control = control | F.contains(text, F.lit(k))
     return (
-        F.when(odd.isNotNull(), F.concat(F.lit("content_not_str:"), odd))
+        F.when(shape.isNotNull(), shape)
+        .when(odd.isNotNull(), F.concat(F.lit("content_not_str:"), odd))
         .when(assistant & F.coalesce(calls, F.lit(False)), "native_tool_calls_present")
         .when(assistant & (strip(thought) != ""), "reasoning_content_present")
         .when(assistant & control, "control_token_in_assistant_content")
@@ -125,6 +127,6 @@ def encoded(messages: DataFrame, load, strict: bool = True) -> DataFrame:
     x = known.withColumn("t", one(F.transform("segments", lambda s: s["text"]), F.transform("segments", lambda s: s["scored"])))
     x = x.select("rec_id", "msg_idx", "role", "t.*", "reason").withColumn("n_tok", F.size("ids").cast("long")).withColumn("n_scored", F.size(F.filter("labels", lambda v: v != IGNORE)).cast("long"))
     other = messages.where(~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)))
-    none, yes, zero = F.array().cast("array<bigint>"), F.lit(True), F.lit(0).cast("long")
+    none, yes, zero = F.array().cast("array<int>"), F.lit(True), F.lit(0).cast("long")
     rest = other.select("rec_id", "msg_idx", "role", none.alias("ids"), none.alias("labels"), yes.alias("whole"), yes.alias("prompt"), yes.alias("decoded"), message_reason(messages, strict).alias("reason"), zero.alias("n_tok"), zero.alias("n_scored"))
     return x.unionByName(rest)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..functions.tokens import IGNORE, pieces
+from ..functions.tokens import IGNORE, Tokenizer, conversation_checker, pieces
+from .pack import running
 from .render import ASSISTANT_PREFIX, END, START
 
 
@@ -34,9 +37,14 @@ def encoded_faults(encoded: DataFrame) -> DataFrame:
     return encoded.where(~(F.col("whole") & F.col("prompt") & F.col("decoded") & one)).select("rec_id", "msg_idx", "whole", "prompt", "decoded")
 
 
-def label_ok():
+def label_ok() -> Column:
     """V5 of one sample: labels are -100 or the id, as many as ids."""
-    return (F.size("input_ids") == F.size("labels")) & F.forall(F.arrays_zip("input_ids", "labels"), lambda z: (z["labels"] == IGNORE) | (z["labels"] == z["input_ids"]))
+    return (F.size("input_ids") == F.size("labels")) & F.forall(F.arrays_zip("input_ids", "labels"), lambda z: F.coalesce((z["labels"] == IGNORE) | (z["labels"] == z["input_ids"]), F.lit(False)))
+
+
+def sample_reason() -> Column:
+    """Why an assembled sample is not written, or null."""
+    return F.when(~F.exists("labels", lambda x: x != IGNORE), "no_scored_tokens").when(~label_ok(), "V5_violation")
 
 
 def scored_spans(tokens: DataFrame) -> DataFrame:
@@ -60,9 +68,51 @@ def label_faults(samples: DataFrame) -> DataFrame:
 
 
 def mask_faults(tokens: DataFrame) -> DataFrame:
-    """V6: messages whose scored tokens differ in number from a recount over their segments."""
-    n = F.aggregate(F.filter("segments", lambda s: s["scored"]), F.lit(0), lambda a, s: a + F.when(s["marker"], 1).otherwise(F.size(pieces(s["text"]))))
-    return tokens.where(F.size(F.filter("labels", lambda x: x != IGNORE)) != n).select("rec_id", "msg_idx")
+    """V6: messages whose labels differ, place by place, from labels set anew from offsets: the scored segments' stretches of the joined
+    text, measured in code points, against where each token begins in it."""
+    width = lambda x: F.length(x).cast("long")
+    step = lambda a, s: F.struct((a["at"] + width(s["text"])).alias("at"), F.when(s["scored"], F.concat(a["on"], F.array(F.struct(a["at"].alias("s"), (a["at"] + width(s["text"])).alias("e"))))).otherwise(a["on"]).alias("on"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s: bigint, e: bigint>>").alias("on"))
+    stretches = F.aggregate("segments", zero, step, lambda a: a["on"])
+    starts = F.slice(running(F.transform("pieces", width)), 1, F.size("pieces"))
+    x = tokens.withColumn("__on", stretches).withColumn("__starts", starts)
+    anew = F.zip_with("ids", "__starts", lambda i, p: F.when(F.exists("__on", lambda o: (o["s"] <= p) & (p < o["e"])), i).otherwise(F.lit(IGNORE).cast("bigint")))
+    return x.where(~anew.eqNullSafe(F.col("labels"))).select("rec_id", "msg_idx")
+
+
+def conversation_faults(tokens: DataFrame) -> DataFrame:
+    """V2 and V3 over whole conversations of ``render.tokenized``: records whose tokens, message by message, differ from those of the
+    whole text between markers, or whose text up to a reply's first scored token isn't the prompt rendered from the messages before it.
+
+    For the records of a verification sample: a conversation is one row.
+    """
+    m = F.sort_array(F.collect_list(F.struct("msg_idx", "role", "segments", "pieces", "labels")))
+    x = tokens.groupBy("rec_id").agg(m.alias("m"))
+    state = lambda out, text: F.struct(out.alias("out"), text.alias("text"))
+    step = lambda a, s: F.when(s["marker"], state(F.concat(a["out"], pieces(a["text"]), F.array(s["text"])), F.lit(""))).otherwise(state(a["out"], F.concat(a["text"], s["text"])))
+    whole = F.aggregate(F.flatten("m.segments"), state(F.array().cast("array<string>"), F.lit("")), step, lambda a: F.concat(a["out"], pieces(a["text"])))
+    body = lambda v: F.array_join(F.transform(F.filter(v["segments"], lambda s: s["scored"] & ~s["marker"]), lambda s: s["text"]), "")
+    asked = lambda v: F.array_join(F.transform(F.filter(v["segments"], lambda s: ~s["marker"]), lambda s: s["text"]), "")
+    # rendered again from role and content: the user's text stands between "user\n" and the last line end
+    again = lambda v: F.when(v["role"] == "user", F.concat(F.lit(START), asked(v).substr(F.lit(1), F.length(asked(v)) - 1), F.lit(END + "\n"))).otherwise(F.concat(F.lit(ASSISTANT_PREFIX), body(v), F.lit(END + "\n")))
+    text = lambda upto: F.array_join(F.flatten(F.transform(F.slice("m", 1, upto), lambda v: v["pieces"])), "")
+    head = lambda v: F.array_join(F.slice(v["pieces"], 1, F.array_position(F.transform(v["labels"], lambda y: y != IGNORE), True) - 1), "")
+    prompt = lambda v, k: F.concat(text(k), head(v)) == F.concat(F.array_join(F.transform(F.slice("m", 1, k), again), ""), F.lit(ASSISTANT_PREFIX))
+    replies = F.filter(F.transform("m", lambda v, k: F.when(v["role"] == "assistant", prompt(v, k)).otherwise(F.lit(True))), lambda ok: ~ok)
+    return x.select("rec_id", (whole == F.flatten("m.pieces")).alias("whole"), (F.size(replies) == 0).alias("prompts")).where(~(F.col("whole") & F.col("prompts")))
+
+
+def encoded_conversation_faults(tokens: DataFrame, messages: DataFrame, load: Callable[[], Tokenizer]) -> DataFrame:
+    """V2, V3 and V6 over whole conversations of another tokenizer: the conversation is rendered from its messages, encoded once with
+    offsets, and compared with the messages' ids; each reply's prompt is rendered from the messages before it and encoded by itself;
+    labels are set anew from the offsets of the replies and compared place by place (for tokenizers that give offsets).
+    """
+    text = strip(F.col("content"))
+    m = F.sort_array(F.collect_list(F.struct("msg_idx", "role", "text", "ids", "labels")))
+    x = tokens.join(messages.select("rec_id", "msg_idx", text.alias("text")), ["rec_id", "msg_idx"]).groupBy("rec_id").agg(m.alias("m"))
+    check = conversation_checker(load, (START, END, ASSISTANT_PREFIX))
+    c = check(*(F.col(f"m.{k}") for k in ("role", "text", "ids", "labels")))
+    return x.select("rec_id", c.alias("c")).select("rec_id", "c.*").where(~(F.col("whole") & F.col("prompts") & F.col("mask")))
 
 
 def manifest_ok(overlap: int, eval_max: int, holdout_head: int) -> bool:

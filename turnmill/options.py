@@ -25,6 +25,7 @@ class PackOptions:
     allow_loose_special: bool = False
     stats_only: bool = False
     resume: bool = False
+    block_tokens: int = 64 << 20  # tokens of a file, so of a writing task
     tokenizer: str = ""  # a tokenizer file (.json, .model) that all workers can read; empty: the native one
 
     def __post_init__(self) -> None:
