@@ -119,6 +119,28 @@ def test_holdout_cuts_the_last_group(spark):
     assert {r.split for r in select.holdout(df, 0).collect()} == {"tail"}
 
 
+def test_a_hot_prompt_is_cut_before_the_shuffle(spark):
+    df = spark.range(0, 20_000, 1, 8).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("prompt_key"), F.lit(1).alias("n_messages"))
+    df = df.withColumnRenamed("id", "rec_id")
+    for out in (select.heads(df, 50), select.capped(df, 3)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        first = plan.index("WindowGroupLimit")
+        assert plan.index("WindowGroupLimit", first + 1) > plan.index("Exchange hashpartitioning(prompt_key", first) > first  # one above, one below the shuffle
+    got = select.heads(df, 50).orderBy("head_pos").collect()
+    assert [r.head_pos for r in got] == list(range(50))
+
+
+def test_a_long_conversation_splits_in_linear_time(spark):
+    import time
+
+    n = 20_000
+    case = spark.range(1).selectExpr("CAST(id AS INT) AS rec_id", f"sequence(0, {n - 1}) AS idx", f"transform(sequence(0, {n - 1}), i -> if(i % 2 = 0, 'user', 'assistant')) AS roles", f"transform(sequence(0, {n - 1}), i -> CAST(1 + i % 7 AS BIGINT)) AS n_tok", f"transform(sequence(0, {n - 1}), i -> CAST(i % 2 * (1 + i % 7) AS BIGINT)) AS n_scored")
+    begin = time.time()
+    plan = pack.packed(case, 200).first().plan
+    assert time.time() - begin < 30
+    assert plan[:20] == model([1 + i % 7 for i in range(1200)], "ua" * 600, 200)[:20]
+
+
 def test_cap_and_order_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(i, f"k{i % 7}", 1) for i in range(100)] + [(200, "", -1)], "rec_id int, prompt_key string, n_messages int")
     seen = set()

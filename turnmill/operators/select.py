@@ -36,7 +36,9 @@ def capped(records: DataFrame, per_prompt: int, seed: int = 1234) -> DataFrame:
 def heads(records: DataFrame, size: int, seed: int = 1234) -> DataFrame:
     """The held-out records: whole groups in seeded order until ``size`` are taken, the last one cut.
 
-    Every group has a record, so the first ``size`` groups suffice; only their keys are ranked.
+    Every group has a record, so the first ``size`` groups suffice; only their keys are ranked. Each task keeps ``size`` records of a
+    group at most before the shuffle (a rank below a constant makes the limit of a window's group), so a prompt that half of all
+    records share stays small.
     """
     if not size:
         return records.limit(0).withColumn("head_pos", F.lit(0).cast("long"))
@@ -45,8 +47,8 @@ def heads(records: DataFrame, size: int, seed: int = 1234) -> DataFrame:
     order = Window.orderBy(seeded(seed, "prompt_key"), "prompt_key").rowsBetween(Window.unboundedPreceding, -1)
     prior = first.withColumn("prior", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("prior") < size).select("prompt_key", "prior")
     inside = Window.partitionBy("prompt_key").orderBy("rec_id")
-    taken = records.join(F.broadcast(prior), "prompt_key").withColumn("__i", F.row_number().over(inside) - 1)
-    return taken.withColumn("head_pos", (F.col("prior") + F.col("__i")).cast("long")).where(F.col("head_pos") < size).drop("prior", "__i")
+    taken = records.join(F.broadcast(prior), "prompt_key").withColumn("__i", F.row_number().over(inside)).where(F.col("__i") <= size)
+    return taken.withColumn("head_pos", (F.col("prior") + F.col("__i") - 1).cast("long")).where(F.col("head_pos") < size).drop("prior", "__i")
 
 
 def holdout(records: DataFrame, size: int = 64, seed: int = 1234) -> DataFrame:

@@ -96,7 +96,7 @@ def conversation_faults(tokens: DataFrame) -> DataFrame:
     # rendered again from role and content: the user's text stands between "user\n" and the last line end
     again = lambda v: F.when(v["role"] == "user", F.concat(F.lit(START), asked(v).substr(F.lit(1), F.length(asked(v)) - 1), F.lit(END + "\n"))).otherwise(F.concat(F.lit(ASSISTANT_PREFIX), body(v), F.lit(END + "\n")))
     text = lambda upto: F.array_join(F.flatten(F.transform(F.slice("m", 1, upto), lambda v: v["pieces"])), "")
-    head = lambda v: F.array_join(F.slice(v["pieces"], 1, F.array_position(F.transform(v["labels"], lambda y: y != IGNORE), True) - 1), "")
+    head = lambda v: F.array_join(F.slice(v["pieces"], 1, F.greatest(F.array_position(F.transform(v["labels"], lambda y: y != IGNORE), True) - 1, F.lit(0)).cast("int")), "")
     prompt = lambda v, k: F.concat(text(k), head(v)) == F.concat(F.array_join(F.transform(F.slice("m", 1, k), again), ""), F.lit(ASSISTANT_PREFIX))
     replies = F.filter(F.transform("m", lambda v, k: F.when(v["role"] == "assistant", prompt(v, k)).otherwise(F.lit(True))), lambda ok: ~ok)
     return x.select("rec_id", (whole == F.flatten("m.pieces")).alias("whole"), (F.size(replies) == 0).alias("prompts")).where(~(F.col("whole") & F.col("prompts")))
