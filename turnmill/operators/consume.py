@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded
@@ -79,10 +79,24 @@ def sweep(lengths: Column, best: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(lengths, lambda x: F.least(x, best))))
 
 
-def cyclic(spark: SparkSession, steps: int, accum: int, n: int) -> DataFrame:
-    """(step, micro, sample): micro-step m of step s uses sample (s * accum + m) mod n."""
-    x = spark.range(steps).select(F.col("id").alias("step"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(accum - 1).cast("long"))).alias("micro"))
-    return x.withColumn("sample", F.pmod(F.col("step") * accum + F.col("micro"), F.lit(n).cast("long")))
+def dealt(train: DataFrame, workers: int, bucketed: bool = True, seed: int = 1234) -> DataFrame:
+    """(sample_no, n_tok, rank, seq) of (pos, sample_no, n_tok): each worker's samples in its order; by length buckets, or every
+    ``workers``-th one. Buckets leave out the last n % workers, the longest."""
+    if bucketed:
+        return length_buckets(train, workers, seed).select("sample_no", "n_tok", "rank", F.col("step").alias("seq"))
+    return strided_shards(train, workers).select("sample_no", "n_tok", F.col("rank").cast("long").alias("rank"), F.floor(F.col("pos") / workers).alias("seq"))
+
+
+def cyclic(ranked: DataFrame, steps: int, accum: int) -> DataFrame:
+    """(step, micro, rank, sample_no, n_tok): micro-step m of step s takes a worker's sample (s * accum + m) mod n, n being how many it has.
+
+    ``ranked``: (sample_no, n_tok, rank, seq). The steps are thin and meet the samples in one join on (rank, seq).
+    """
+    spark = ranked.sparkSession
+    per = ranked.groupBy("rank").agg(F.count("*").alias("__n"))  # one row a worker
+    x = spark.range(steps * accum).select(F.floor(F.col("id") / accum).alias("step"), F.pmod("id", F.lit(accum)).alias("micro"), F.col("id").alias("__u"))
+    due = x.join(F.broadcast(per)).withColumn("seq", F.pmod("__u", F.col("__n")))
+    return due.join(ranked, ["rank", "seq"]).select("step", "micro", "rank", "sample_no", "n_tok")
 
 
 def warm_up(step: Column, steps: int, lr: float) -> Column:

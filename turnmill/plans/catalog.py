@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import metrics  # noqa: F401  registers its queries
+from . import metrics, training  # noqa: F401  register their queries
 from .conversations import QUERIES, SQL
 
 

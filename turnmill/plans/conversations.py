@@ -413,16 +413,6 @@ def padded_batches(spark, sf_dir):
     return p.select("rec_id", F.size("ids").cast("long").alias("width"), F.aggregate("att", F.lit(0).cast("long"), lambda x, y: x + y).alias("n_real"), F.md5(F.array_join("ids", ",").cast("binary")).alias("ids_md5"), F.md5(F.array_join("lab", ",").cast("binary")).alias("lab_md5"))
 
 
-@query("SELECT s AS step, m AS micro, (s * 3 + m) % 37 AS sample FROM range(200) a(s), range(3) b(m)")
-def cyclic_schedule(spark, sf_dir):
-    return consume.cyclic(spark, 200, 3, 37)
-
-
-@query("SELECT s AS step, 1e-4::DOUBLE * least(1.0::DOUBLE, (s + 1) / 20.0::DOUBLE) AS lr FROM range(200) a(s)")
-def lr_schedule(spark, sf_dir):
-    return spark.range(200).select(F.col("id").alias("step"), consume.warm_up(F.col("id"), 200, 1e-4).alias("lr"))
-
-
 @query("SELECT conv_id AS rec_id, array_to_string(list_sort(list_distinct(list(least(length(coalesce(text, '')), 600)))), ',') AS lengths FROM conversations GROUP BY 1")
 def sweep_lengths(spark, sf_dir):
     x = messages(spark, sf_dir).groupBy("rec_id").agg(F.collect_list(F.length(F.coalesce("content", F.lit("")))).alias("l"))

@@ -86,7 +86,7 @@ def run(spark: SparkSession, src: str, out: str, options: PackOptions = PackOpti
     strict = not options.allow_loose_special
     load = tokens.from_file(options.tokenizer) if options.tokenizer else None
     template = "".join((render.ASSISTANT_PREFIX, render.END, *render.INSTRUCTIONS.values()))
-    manifest: dict = {"options": asdict(options), "unparseable": index.where("n_messages < 0").count(), "selected": order.count(), "head": order.where("split = 'head'").count()}
+    manifest: dict = {"options": asdict(options), "unparseable": index.where("n_messages < 0").count(), "selected": order.count(), "head": order.where("split = 'head'").count(), "overlap": 0}
     manifest |= {
         "src_digest": samples.content_digest(records.select("rec_id", "digest")), "template_digest": samples.signature(template),
         "tokenizer_digest": samples.signature(Path(options.tokenizer).read_bytes() if load else PATTERN),
