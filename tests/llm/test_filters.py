@@ -63,14 +63,58 @@ def test_propagation_equals_brute_force(spark):
     got = {r.host: (r.trust, r.distrust) for r in urls.propagate(e, s).collect()}
     trust = pagerank(edges, {h: x[0] for h, x in seeds.items()})
     distrust = pagerank({(b, a): n for (a, b), n in edges.items()}, {h: x[1] for h, x in seeds.items()})
-    assert all(abs(got[h][0] - trust[h]) < 1e-5 and abs(got[h][1] - distrust[h]) < 1e-5 for h in seeds)
+    assert all(abs(got[h][0] - 0.15 * trust[h]) < 1e-5 and abs(got[h][1] - 0.15 * distrust[h]) < 1e-5 for h in seeds)
+
+
+def test_shares_that_decide_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    edges = {(f"h{rng.randint(0, 20)}", f"h{rng.randint(0, 20)}"): rng.randint(1, 5) for _ in range(70)}
+    edges = {k: n for k, n in edges.items() if k[0] != k[1]}
+    seeds = {f"h{i}": (0.5 * (i < 4), 0.25 * (i > 15)) for i in range(23)}  # two of them without links
+    e = spark.createDataFrame([(*k, n) for k, n in edges.items()], "src string, dst string, links long")
+    s = spark.createDataFrame([(h, *x) for h, x in seeds.items()], "host string, trust double, distrust double")
+    want = {}
+    for way, graph in enumerate((edges, {(b, a): n for (a, b), n in edges.items()})):
+        own, every = {h: x[way] for h, x in seeds.items()}, dict.fromkeys(seeds, 1.0)
+        x, y = pagerank(graph, own), pagerank(graph, every)
+        for h in seeds:
+            want[h, way] = (x[h] - own[h]) / (y[h] - 1) if y[h] > 1 + 1e-9 else 0.0
+    for fan in (20_000, 2):  # a host's links in one task, or dealt
+        monkeypatch.setattr(urls, "FAN", fan)
+        got = {(r.host, way): v for r in urls.propagate(e, s, tolerance=1e-7).collect() for way, v in enumerate((r.trust_share, r.distrust_share))}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def linked(pages):
+    """Rows (page_id, url, html) of (host, path, linked hosts)."""
+    return [(i, f"http://{host}{path}", " ".join(f"<a href='http://{t}/'>x</a>" for t in to)) for i, (host, path, to) in enumerate(pages)]
+
+
+def test_hosts_with_few_blocked_pages_keep_the_others(spark):
+    pages = [(h, f"/de/{i}" if not i else f"/{i}", [o]) for h, o in (("one.example.com", "two.example.com"), ("two.example.com", "one.example.com")) for i in range(10)]
+    got = urls.url_filter(spark.createDataFrame(linked(pages), "page_id long, url string, html string")).collect()
+    assert sum(r.verdict == "block" for r in got) == 2 and all(r.distrust < 0.25 for r in got)
+
+
+def test_trusted_links_do_not_hide_where_a_host_links_to(spark):
+    pages = [("cat.x", "/", ["bad.net"]), ("bad.net", "/", [])] + [(f"t{k}.org", "/fr/", ["cat.x"]) for k in range(20)] + [("fair.x", "/", ["cat.x", "t1.org", "t2.org", "t3.org"]), ("alone.x", "/", [])]
+    df = spark.createDataFrame(linked(pages), "page_id long, url string, html string")
+    got = {r.host: r for r in urls.url_filter(df).collect()}
+    assert got["cat.x"].verdict == "block" and got["cat.x"].distrust == pytest.approx(1.0)
+    assert {h: got[h].verdict for h in ("fair.x", "alone.x", "t1.org", "bad.net")} == {"fair.x": "allow", "alone.x": "allow", "t1.org": "allow", "bad.net": "block"}
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("pages", df.toArrow())
+    want = con.sql(urls.oracle("pages")).fetchall()
+    assert sorted((r[0], r[4], round(r[5], 5), round(r[6], 5)) for r in want) == sorted((r.page_id, r.verdict, round(r.trust, 5), round(r.distrust, 5)) for r in got.values())
 
 
 def test_walks_that_do_not_end_are_an_error(spark):
     e = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, links long")
     s = spark.createDataFrame([("a", 1.0, 0.0), ("b", 0.0, 1.0)], "host string, trust double, distrust double")
     got = {r.host: r.trust for r in urls.propagate(e, s).collect()}
-    assert abs(got["a"] - 1 / (1 - 0.85**2)) < 1e-4 and abs(got["b"] - 0.85 / (1 - 0.85**2)) < 1e-4
+    assert abs(got["a"] - 0.15 / (1 - 0.85**2)) < 1e-4 and abs(got["b"] - 0.15 * 0.85 / (1 - 0.85**2)) < 1e-4
     with pytest.raises(RuntimeError):
         urls.propagate(e, s, rounds=20)
 
