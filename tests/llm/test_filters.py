@@ -296,6 +296,12 @@ def test_other_tokenizers(spark, name):
 
 
 # -------------------------------------------------------------------------- html
+def apart(page):
+    """Blocks inside articles, and the others."""
+    found = html.blocks(page)
+    return [t for t, sure in found if sure], [t for t, sure in found if not sure]
+
+
 @pytest.mark.parametrize(
     ("page", "core", "rest"),
     [
@@ -313,11 +319,15 @@ def test_other_tokenizers(spark, name):
         ("<div><aside>s<p>t</div><article>a</article>", ["a"], []),
         ("<body><aside>s<article>a<aside>t</aside>b</article><p>c", ["a", "b"], ["c"]),
         ("<article><ul><li class=ad>x<li>y</ul><div class='site-footer'>f</div><div class='comment-list'><article>c</article></div>z</article>", ["y", "z"], []),
+        ("<article><h1 class='page-header'>The Title</h1><div class='section-header'><h2>Results</h2></div><p>x</article>", ["The Title", "Results", "x"], []),
+        ("<article><figure class='banner'><figcaption>f</figcaption></figure><section id='comment'>critic</section><div class='comments'>c</div></article>", ["f", "critic"], []),
+        ("<div>main story</div><article>teaser</article>", ["teaser"], ["main story"]),
+        ("<p>a<template>x<template>y</template>z</template>b <svg><svg></svg><text>t</text></svg>c</p>", [], ["ab c"]),
         ("<nav>n<nav>m</nav>o</nav><div class='sidebar left'>s</div>t", [], ["t"]),
     ],
 )
 def test_blocks(page, core, rest):
-    assert html.blocks(page) == (core, rest)
+    assert apart(page) == (core, rest)
 
 
 def test_random_pages_equal_brute_force():
@@ -360,8 +370,8 @@ def test_random_pages_equal_brute_force():
         body = tree(3, True, out, buffer)
         if "".join(buffer).strip():
             out.append(" ".join("".join(buffer).split()))
-        assert html.blocks(f"<body><header>h</header><article>{body}</article><footer>f</footer></body>") == (out, [])
-        assert html.blocks(f"<body><header>h</header>{body}<footer>f</footer></body>") == ([], out)
+        assert apart(f"<body><header>h</header><article>{body}</article><footer>f</footer></body>") == (out, [])
+        assert apart(f"<body><header>h</header>{body}<footer>f</footer></body>") == ([], out)
 
 
 def test_an_article_that_two_pages_show_stays(spark):
@@ -374,6 +384,35 @@ def test_an_article_that_two_pages_show_stays(spark):
     assert got[0] == got[1] == story and not any("m3" in t for t in got.values()) and got[99].count("q") == 200_000
 
 
+def test_undecided_blocks_of_a_host_equal_brute_force(spark):
+    """Whole query on hosts without article elements, and on pages that have undecided text beside one."""
+    rng = random.Random(11)
+    pool = [f"w{k}" for k in range(12)]
+    shared = [" ".join(rng.choices(pool, k=rng.randint(8, 16))) for _ in range(4)]
+    rows, parts = [], {}
+    for i in range(60):
+        host = f"h{i % 3}.x"
+        texts = [rng.choice(shared) if rng.random() < 0.5 else " ".join(rng.choices(pool, k=rng.randint(3, 14))) for _ in range(rng.randint(1, 4))]
+        sure = f"own text {shared[0]}" if i % 4 == 0 else None
+        parts[i] = (host, texts, sure)
+        rows.append((i, f"http://{host}/{i}", "".join(f"<div>{t}</div>" for t in texts[:1]) + (f"<article>{sure}</article>" if sure else "") + "".join(f"<p>{t}</p>" for t in texts[1:])))
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for host in {h for h, _, _ in parts.values()}:
+        pages = {i: [w for t in texts for w in t.split()] for i, (h, texts, _) in parts.items() if h == host}
+        runs = {i: {tuple(t[k : k + html.RUN]) for k in range(len(t) - html.RUN + 1)} for i, t in pages.items()}
+        need = max(2, min(html.PAGES, html.SHARE * len(pages)))
+        for i, tokens_ in pages.items():
+            drop = {k + j for k in range(len(tokens_) - html.RUN + 1) if sum(tuple(tokens_[k : k + html.RUN]) in r for r in runs.values()) >= need for j in range(html.RUN)}
+            out, at = [], 0
+            for n, t in enumerate(parts[i][1]):
+                kept = [w for k, w in enumerate(t.split(), at) if k not in drop]
+                at += len(t.split())
+                out += [" ".join(kept)] if kept else []
+                if n == 0 and parts[i][2]:
+                    out.append(parts[i][2])
+            assert got[i] == "\n".join(out)
+
+
 def test_host_repeats_go_and_articles_stay(spark):
     menu = "<div>Start page of the site with links to all parts</div>"
     page = lambda i: f"<body>{menu}<p>{' '.join(f'u{i}x{k}' for k in range(9))}</p></body>"

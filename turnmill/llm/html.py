@@ -16,7 +16,7 @@ from .urls import with_parts
 #: Tokens that a repeated run has at least; it is boilerplate if it is on this share of its host's pages, or on so many.
 RUN, SHARE, PAGES = 10, 0.2, 20
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|iframe|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr2>[^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
@@ -25,7 +25,13 @@ ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)
 #: Fixed values of HTML: elements that begin and end a block, that hold no content, and that are page furniture.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE = frozenset("nav footer aside form button menu dialog head title label fieldset input option datalist".split())
+FURNITURE = frozenset("nav footer aside form button menu dialog head title label fieldset input option datalist noscript template svg select".split())
+#: Elements of these that stand inside a line without ending it.
+INLINE = frozenset("template svg noscript select".split())
+#: Names that say furniture of a page, but a part of the text inside an article: its own heading or lead picture.
+OUTSIDE = frozenset("header masthead banner topbar".split())
+#: Elements that are text inside an article, whatever their names.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert alertdialog dialog form".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertisements advertising banner sponsor sponsored promo sidebar menu nav navbar navigation footer header masthead topbar cookie cookies consent gdpr notice notices popup modal overlay comment comments disqus replies share sharing social related breadcrumb breadcrumbs newsletter subscribe subscription widget toolbar pagination pager skip".split())
 #: Words that may stand beside a name in a class without changing what it says; with any other word it is something else.
@@ -35,11 +41,13 @@ ARTICLE = frozenset(("article", "main"))
 IMPLIED = frozenset("li dt dd option tr td th".split())
 
 
-def names_furniture(value: str) -> bool:
-    """Whether one of the class names, taken whole, is a known name, alone or beside words that don't change it."""
+def names_furniture(value: str, inside: bool = False) -> bool:
+    """Whether one of the class names, taken whole, is a known name, alone or beside words that don't change it; inside an article
+    names of ``OUTSIDE`` are none, and a lone "comment" isn't either: it may be a critic's."""
     for name in value.lower().split():
         parts = [x for x in re.split(r"[-_]+", name) if x]
-        if not NAMES.isdisjoint(parts) and all(x in NAMES or x in BESIDE for x in parts):
+        known = NAMES.intersection(parts) - (OUTSIDE if inside else frozenset())
+        if known and not (inside and parts == ["comment"]) and all(x in NAMES or x in BESIDE for x in parts):
             return True
     return False
 
@@ -60,7 +68,7 @@ def is_furniture(tag: str, attr: str, inside: bool) -> bool:
         elif name == "aria-hidden":
             if value.strip().lower() == "true":
                 return True
-        elif name in ("class", "id") and names_furniture(value):
+        elif name in ("class", "id") and not (inside and tag in HEADINGS) and names_furniture(value, inside):
             return True
     return False
 
@@ -96,13 +104,12 @@ def past(i: int, found: list, ends: list[int], limit: int) -> int:
     return limit
 
 
-def blocks(source: str) -> tuple[list[str], list[str]]:
-    """Text blocks inside article or main elements, and those that no markup decides about, in page order.
+def blocks(source: str) -> list[tuple[str, bool]]:
+    """Text blocks in page order, and whether each is inside an article or main element; markup decides nothing about the others.
 
     Furniture is skipped to its end tag. One that has none within its parent ends with the parent, or where an article begins.
     """
-    core: list[str] = []
-    open_: list[str] = []
+    out: list[tuple[str, bool]] = []
     parts: list[str] = []
     found, ends = tags(source)
     parents: list[int] = []  # where the elements that we are in end
@@ -113,7 +120,7 @@ def blocks(source: str) -> tuple[list[str], list[str]]:
         if parts:
             text = " ".join(htmllib.unescape("".join(parts)).split())
             if text:
-                (core if inside else open_).append(text)
+                out.append((text, inside > 0))
             parts.clear()
 
     while i < len(found):
@@ -136,7 +143,7 @@ def blocks(source: str) -> tuple[list[str], list[str]]:
             continue
         limit, skipped = parents[-1] if parents else len(found), i - 1
         if is_furniture(tag, attr, inside > 0):
-            if tag in BLOCKS or tag in FURNITURE:
+            if tag in BLOCKS or (tag in FURNITURE and tag not in INLINE):
                 flush()
             if tag not in VOID and not attr.endswith("/"):
                 i = past(i - 1, found, ends, limit)
@@ -155,7 +162,7 @@ def blocks(source: str) -> tuple[list[str], list[str]]:
     if at < len(source):
         parts.append(source[at:])
     flush()
-    return core, open_
+    return out
 
 
 def suffixes(pages: DataFrame, run: int = RUN) -> DataFrame:
@@ -169,9 +176,9 @@ def suffixes(pages: DataFrame, run: int = RUN) -> DataFrame:
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
         streams, some = [], []
         for source in b.column(2).to_pylist():
-            core, open_ = blocks(source or "")
-            streams.append("" if core else " ".join(open_))
-            some.append(not core and bool(open_))
+            open_ = [text for text, sure in blocks(source or "") if not sure]
+            streams.append(" ".join(open_))
+            some.append(bool(open_))
         w = Words(pa.array(streams, pa.string()))
         grams, first = w.grams(run)
         doc = w.doc[first]
@@ -198,13 +205,16 @@ def covered(pages: DataFrame, run: int = RUN) -> DataFrame:
     return found.join(again, ["host", "prefix"], "left_semi").groupBy("page").agg(F.collect_set("at").alias("at"))
 
 
-def unique_runs(texts: list[str], starts: list[int] | None, run: int) -> list[str]:
-    """The blocks without the tokens that repeats cover."""
+def unique_runs(texts: list[tuple[str, bool]], starts: list[int] | None, run: int) -> list[str]:
+    """The blocks, those that markup leaves undecided without the tokens that repeats cover."""
     if not starts:
-        return texts
+        return [text for text, _ in texts]
     drop = {s + j for s in starts for j in range(run)}
     out, at = [], 0
-    for text in texts:
+    for text, sure in texts:
+        if sure:
+            out.append(text)
+            continue
         tokens = re.findall(r"[^\x20\x09-\x0D]+", text)
         kept = [t for i, t in enumerate(tokens, at) if i not in drop]
         at += len(tokens)
@@ -216,9 +226,9 @@ def unique_runs(texts: list[str], starts: list[int] | None, run: int) -> list[st
 def main_text(pages: DataFrame, run: int = RUN, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
     """``key``, ``url``, ``text`` and ``n_chars`` of every row.
 
-    Where the markup has an article or main element, its blocks without furniture are the text, whole: an article that two
-    pages of a host show is no boilerplate. Elsewhere the blocks that no markup decides about lose the runs of ``run``
-    tokens or more that another page of the host has too, and keep the rest. Null html is empty; a null url has the empty
+    Blocks inside an article or main element, without furniture, are text, whole: an article that two pages of a host show is no
+    boilerplate. Blocks that no markup decides about, on the same page or on one without such an element, lose the runs of ``run``
+    tokens or more that other pages of the host have too, and keep the rest, in page order. Null html is empty; a null url has the empty
     host. Rows that repeat one page (key, url and html) are one page to the search and each get its text.
     """
     rows = pages.select(F.col(key), F.col(url).alias("url"), F.col(html).alias("html"))
@@ -230,8 +240,7 @@ def main_text(pages: DataFrame, run: int = RUN, url: str = "url", html: str = "h
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for source, starts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            core, open_ = blocks(source or "")
-            out.append("\n".join(core or unique_runs(open_, starts, run)))
+            out.append("\n".join(unique_runs(blocks(source or ""), starts, run)))
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [key, "url", "text", "n_chars"])
 
     return map_arrow(rows, work, f"`{key}` {kind}, url string, text string, n_chars bigint", "html")
