@@ -363,6 +363,14 @@ def roundtrip_filter(spark, sf_dir):
     return verify.round_trip(messages(spark, sf_dir), whole).na.fill(-1, ["first_bad"])
 
 
+@query(f"""WITH {MSG}, t AS (SELECT *, role = 'assistant' AND c <> '' AND regexp_matches(c, '[^\\x00-\\x7F]') AS bad FROM msg)
+  SELECT rec_id, count(*) FILTER (bad) = 0 AS kept, coalesce(min(msg_idx) FILTER (bad), -1) AS first_bad FROM t GROUP BY 1""")
+def roundtrip_ascii(spark, sf_dir):
+    """The filter with a tokenizer of 128 characters, which gives back nothing else: conversations in other languages go."""
+    text = strip(F.col("content"))
+    return verify.round_trip(messages(spark, sf_dir), F.regexp_replace(text, r"[^\x00-\x7F]", "?") == text).na.fill(-1, ["first_bad"])
+
+
 # -------------------------------------------------------------- consumption
 NO = f"WITH {MSG}, s AS (SELECT row_number() OVER (ORDER BY rec_id) - 1 AS sample_no, raw_tokens AS n_tok FROM raw)"
 
