@@ -122,6 +122,12 @@ def samples(plans: DataFrame, base: int = 0) -> DataFrame:
     return x.select("rec_id", "piece_no", F.transform("order", lambda j: F.element_at("idx", j + 1)).alias("order"), (total(F.col("n_tok")) + base).alias("n_tok"), total(F.col("n_scored")).alias("n_scored"))
 
 
+def together(messages: DataFrame) -> DataFrame:
+    """The messages dealt by record before they become tokens: texts are a quarter of their tokens' size in a shuffle, and where
+    ``assembled`` then groups by record nothing moves again. As many tasks as shuffles have, so few large files don't hold it up."""
+    return messages.repartition(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec_id")
+
+
 def assembled(pieces_: DataFrame, tokens: DataFrame, cap: int | None = None) -> DataFrame:
     """(rec_id, piece_no, input_ids, labels): planned pieces with the messages' tokens in order, cut to ``cap`` if given."""
     per = tokens.groupBy("rec_id").agg(F.map_from_entries(F.collect_list(F.struct("msg_idx", F.struct("ids", "labels").alias("v")))).alias("m"))

@@ -250,7 +250,7 @@ whole AS (SELECT rec_id, flatten(list(ids ORDER BY msg_idx)) AS ids, flatten(lis
   md5(array_to_string(ids[1:{CAP}], ',')) AS ids_md5 FROM whole WHERE len(list_filter(labels[1:{CAP}], lambda x: x <> -100)) > 0""")
 def pack_truncate(spark, sf_dir):
     p = pack.packed(records(spark, sf_dir), CAP, "truncate")
-    a = pack.assembled(pack.samples(p), render.tokenized(accepted(spark, sf_dir)), CAP)
+    a = pack.assembled(pack.samples(p), render.tokenized(pack.together(accepted(spark, sf_dir))), CAP)
     a = consume.truncated(a, CAP)
     return a.select("rec_id", F.size("input_ids").cast("long").alias("n_tok"), pack.n_scored(F.col("labels")).alias("n_scored"), F.md5(F.array_join("input_ids", ",").cast("binary")).alias("ids_md5"))
 
@@ -306,7 +306,7 @@ def piece_counts(spark, sf_dir):
   FROM flat JOIN labelled USING (rec_id, msg_idx) GROUP BY 1, 2""")
 def packed_samples(spark, sf_dir):
     s = pack.samples(pack.packed(records(spark, sf_dir), CAP))
-    a = pack.assembled(s, render.tokenized(accepted(spark, sf_dir)))
+    a = pack.assembled(s, render.tokenized(pack.together(accepted(spark, sf_dir))))
     return a.select("rec_id", "piece_no", F.md5(F.array_join("input_ids", ",").cast("binary")).alias("ids_md5"), F.md5(F.array_join("labels", ",").cast("binary")).alias("labels_md5"))
 
 
@@ -337,7 +337,7 @@ def mask_verification(spark, sf_dir):
 @query(f"WITH {split_sql(CAP)} SELECT count(*) AS samples, 0::BIGINT AS faults FROM plan")
 def label_invariants(spark, sf_dir):
     s = pack.samples(pack.packed(records(spark, sf_dir), CAP))
-    a = pack.assembled(s, render.tokenized(accepted(spark, sf_dir)))
+    a = pack.assembled(s, render.tokenized(pack.together(accepted(spark, sf_dir))))
     return a.agg(F.count("*").alias("samples")).join(F.broadcast(verify.label_faults(a).agg(F.count("*").alias("faults"))))
 
 

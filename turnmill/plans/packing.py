@@ -127,7 +127,7 @@ def run(spark: SparkSession, src: str, out: str, options: PackOptions = PackOpti
         samples.write_manifest(spark, manifest | {"result": "STATS_OK"}, f"{out}.stats")
         return STATS_OK, manifest
     if only is None or only:
-        built = pack.assembled(pack.samples(plans, lead), coded if load else render.tokenized(good), options.max_len if options.overlength == "truncate" else None)
+        built = pack.assembled(pack.samples(plans, lead), coded if load else render.tokenized(pack.together(good)), options.max_len if options.overlength == "truncate" else None)
         # samples are assembled once; what is written, rejected and counted is read from this table
         built.withColumn("reason", verify.sample_reason()).join(todo, "rec_id").write.mode("overwrite").parquet(f"{out}.staging")
         staged = spark.read.parquet(f"{out}.staging")
