@@ -31,7 +31,7 @@ def test_base_spans_equal_the_patterns():
 
 
 def test_long_runs_stay_linear():
-    for t in ("a" * 300_000 + "@", "1" * 300_000, "+1" + " " * 300_000, "a@" * 50_000, "1." * 100_000, "1-" * 100_000, "(111) " * 50_000):
+    for t in ("a" * 300_000 + "@", "1" * 300_000, "+1" + " " * 300_000, "a@" * 50_000, "1." * 100_000, "1-" * 100_000, "(111) " * 50_000, "1234 " * 60_000, "aB3" * 100_000, "a1-" * 100_000, "1234567890 " * 30_000):
         spans = pii.base_spans(t)
         pii.loose_spans(t, spans)
 
@@ -63,6 +63,30 @@ def test_model_adds_secrets_and_spellings_and_leaves_clean_text(spark):
     assert got[402].n_ip == 1
 
 
+def test_model_turns_doubtful_candidates_down(spark):
+    rng = random.Random(6)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    word = lambda: pick("abcdefghij", 9) + pick("ABCDEFGHIJ", 9) + pick("0123456789", 6)
+    wrong = [x for x in ("4" + pick("0123456789", 15) for _ in range(100)) if not pii.luhn(x)][:40]
+    right = [x for x in ("4" + pick("0123456789", 15) for _ in range(1500)) if pii.luhn(x)][:80]
+    rows = [(i, f"part number {x} in stock") for i, x in enumerate(wrong)]
+    rows += [(100 + i, f"paid {x} today, mail a{i}@b.com, host 10.0.0.{i}, call +1 202 555 01{i:02d}") for i, x in enumerate(right)]
+    rows += [(300 + i, f"commit {pick('0123456789abcde', 20)}f1 on main") for i in range(40)] + [(400 + i, f"we counted {pick('123456789', 10)} of them") for i in range(40)]
+    rows += [(500 + i, f"password = {word()} and more") for i in range(40)] + [(600 + i, f"log in with the token {word()} please") for i in range(20)]
+    rows += [(700, None), (701, ""), (702, "word " * 200_000 + wrong[0])]
+    got = {r.doc_id: r for r in pii.pii(docs(spark, rows)).collect()}
+    for lo, hi in ((0, 40), (300, 340), (400, 440), (702, 703)):
+        assert all(got[i].n_rejected == 1 and got[i].spans == "" for i in range(lo, hi) if i in got), lo
+    assert all(got[i].n_spans == 4 and got[i].n_rejected == 0 for i in range(100, 180))
+    assert all(got[i].n_secret == 1 and got[i].n_rejected == 0 for i in [*range(500, 540), *range(600, 620)])
+    assert got[700].n_rejected == got[701].n_rejected == 0
+
+
+def test_a_fit_that_does_not_settle_warns():
+    with pytest.warns(UserWarning, match="rounds"):
+        pii.fit([("email=+++00", 9), ("card~0-+00", 4), ("phone~0+000", 3)], rounds=1)
+
+
 def test_redaction(spark):
     df = docs(spark, [(1, "to me@site.com now", "k"), (2, None, "k")], "doc_id long, text string, base string")
     got = {r.doc_id: (r.text, r.base) for r in pii.redact(df).collect()}

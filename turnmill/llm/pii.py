@@ -6,6 +6,7 @@ import hashlib
 import ipaddress
 import math
 import re
+import warnings
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
@@ -43,6 +44,12 @@ KEY_FORMS = {
     "eyJ": re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{10}[A-Za-z0-9_-]*+\.[A-Za-z0-9_-]{10}[A-Za-z0-9_.-]*+"),
 }
 HEX = re.compile(r"[0-9a-fA-F]{32}[0-9a-fA-F]*+")
+#: Candidates that only their surroundings can tell: numbers grouped or as long as a card's, whatever their check digit, bare numbers as
+#: long as a national phone number, and long words of letters and digits.
+CARDLIKE = re.compile(r"(?<![0-9.,-])(?:[0-9]{13,19}|[0-9]{4}([ ./_-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ ./_-])[0-9]{6}\2[0-9]{5})(?![0-9])")
+BARE_PHONE = re.compile(r"(?<![0-9A-Za-z.,+_/:=-])[0-9]{9,11}(?![0-9A-Za-z_/-]|[.,:][0-9])")
+BARE_KEY = re.compile(r"(?<![A-Za-z0-9_/+.-])[A-Za-z0-9_-]{16}[A-Za-z0-9_-]*+(?![/+.][A-Za-z0-9])")
+BARE_HEX = re.compile(r"[0-9a-fA-F]+")
 #: Values that stand for a secret in manuals.
 PLACEHOLDER = re.compile(r"(?i)example|changeme|your[_-]|placeholder|redacted|dummy|xxxx|\*\*\*|\$\{|<")
 #: Common top-level domains, telephone country codes and first digits of payment cards.
@@ -119,6 +126,13 @@ def secrets(text: str) -> Iterator[tuple[int, int]]:
         if begin in text:
             yield from (m.span() for m in form.finditer(text))
     yield from (m.span() for m in HEX.finditer(text))
+    yield from (m.span() for m in BARE_KEY.finditer(text) if bare_key(m.group()))
+
+
+def bare_key(s: str) -> bool:
+    """A hexadecimal word of 16 characters or more, or one of 20 or more with letters of both cases; with letters and digits."""
+    letters, digits = any(c.isalpha() for c in s), any(c.isdigit() for c in s)
+    return letters and digits and (bool(BARE_HEX.fullmatch(s)) or len(s) >= 20 and s.lower() != s and s.upper() != s)
 
 
 def is_ipv6(s: str) -> bool:
@@ -129,14 +143,24 @@ def is_ipv6(s: str) -> bool:
 
 
 def loose_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
-    """Candidates of the wider patterns that touch no base span, and secrets, which may hold one; of secrets that overlap, the one that begins first, the longer of those."""
+    """Candidates of the wider patterns that touch no base span, and secrets, which may hold one; of secrets that overlap, the one that begins first, the longer of those.
+
+    Numbers grouped like a card's are candidates for cards, not for phones.
+    """
     found = []
     low = text.lower() if re.search(r"[aA][tT]", text) else ""
     if re.search(r"[(\[{< ](?:at|dot)[)\]}> ]", low) and ("dot" in low or "(at)" in low or "[at]" in low or "{at}" in low or "<at>" in low):
         found += [(m.start(), 0, m.end()) for m in LOOSE["email"].finditer(text) if re.search(r"(?i)[(\[{<]at[)\]}>]|[(\[{< ]dot[)\]}> ]", m.group())]
     if "::" in text or text.count(":") >= 7:
         found += [(m.start(), 1, m.end()) for m in LOOSE["ip"].finditer(text) if is_ipv6(m.group())]
-    found += [(m.start(), 3, m.end()) for m in LOOSE["phone"].finditer(text)]
+    cards = [m.span() for m in CARDLIKE.finditer(text)]
+    found += [(s, 2, e) for s, e in cards]
+    begins = [s for s, _ in cards]
+    for p in (LOOSE["phone"], BARE_PHONE):
+        for m in p.finditer(text):
+            i = bisect_left(begins, m.end())
+            if not i or cards[i - 1][1] <= m.start():
+                found.append((m.start(), 3, m.end()))
     done = 0
     for s, e in sorted(secrets(text), key=lambda x: (x[0], -x[1])):
         if s >= done:
@@ -168,25 +192,27 @@ def vote(text: str, start: int, kind: int, end: int, strict: bool) -> str:
         shape = "+" if len(parts) == 4 or len(set(span)) > 3 else "-"
     elif kind == 2:
         gaz = "+" if d[0] in CARD_STARTS else "0"
-        shape = "-" if len(set(d)) < 3 else "+"
+        shape = "-" if len(set(d)) < 3 or not luhn(d) else "+"
     elif kind == 4:
         letters = sum(c.isalpha() for c in span)
         gaz = "-" if PLACEHOLDER.search(span) else "+" if any(f.fullmatch(span) for f in KEY_FORMS.values()) else "0"
         mixed = gaz != "-" and len(set(span)) >= 8 and 0 < letters < len(span)
-        shape = "-" if not mixed else "0" if HEX.fullmatch(span) else "+"  # a hexadecimal string may be a digest as well
+        shape = "-" if not mixed else "0" if BARE_HEX.fullmatch(span) else "+"  # a hexadecimal string may be a digest as well
         strict = gaz == "+" or gaz != "-" and bool(SECRET_NAME.search(text[max(0, start - 40) : start].rstrip("\"'`=:> \t")))
     else:
         gaz = "+" if strict and any(d[:k] in COUNTRY for k in (1, 2)) else "0" if strict else "-" if d[0] in "01" and len(d) == 10 and d[:2] != "01" else "0"
-        shape = "+" if 9 <= len(d) <= 15 else "-"
+        shape = "-" if not 9 <= len(d) <= 15 else "0" if len(d) == len(span) else "+"  # a bare number may count anything
     against = (AGAINST_SECRET if kind == 4 else AGAINST).search(before)
     context = "+" if CONTEXT[name].search(before) and not (kind == 4 and against) else "-" if against else "0"
     glued = (start > 0 and text[start - 1].isalnum()) or (after[:1].isalnum())
     return f"{name}{'=' if strict and kind < 4 else '~'}{'+' if strict else '0'}{shape}{gaz}{context}{'-' if glued else '0'}"
 
 
-def fit(patterns: list[tuple[str, int]], rounds: int = 50) -> dict[str, float]:
+def fit(patterns: list[tuple[str, int]], rounds: int = 10_000, still: float = 1e-7) -> dict[str, float]:
     """Reliabilities by expectation-maximisation over the labelers' patterns, then a logistic span classifier on them.
 
+    The rounds end when no posterior moves by more than ``still``; a warning tells if ``rounds`` of them don't reach that.
+
     All kinds share the labelers; the classifier's inputs are the votes, the kind and the candidate's source, its
     targets the posteriors, its weights the cube roots of the counts over the whole corpus, so that the commonest pattern
     doesn't fit the others'.
@@ -196,7 +222,7 @@ def fit(patterns: list[tuple[str, int]], rounds: int = 50) -> dict[str, float]:
     names = sorted(patterns)
     votes = np.array([["-0+".index(c) for c in p.split("=" if "=" in p else "~")[1]] for p, _ in names])
     n = np.array([c for _, c in names], float)
-    loose = np.array(["~" in p for p, _ in names]).astype(int)
+    _, group = np.unique([re.split("[=~]", p)[0] + "=~"["~" in p] for p, _ in names], return_inverse=True)
     post = np.clip(0.5 + 0.2 * (votes - 1).sum(1), 0.05, 0.95)
     for _ in range(rounds):
         score = []
@@ -204,11 +230,16 @@ def fit(patterns: list[tuple[str, int]], rounds: int = 50) -> dict[str, float]:
             said = np.stack([(w[:, None] * (votes == k)).sum(0) + 5 * prior[k == 0] for k in (0, 2)])
             chance = np.zeros((3, votes.shape[1]))
             chance[[0, 2]] = np.log(said / said.sum(0))
-            # base spans and others have a share of each class of their own, and neither is taken to be rarer than one in ten, so
-            # that a corpus of plain cases leaves objections their weight
-            share = np.array([(w[loose == k].sum() + 1) / (n[loose == k].sum() + 2) for k in (0, 1)])
-            score.append(np.log(np.clip(share, 0.1, 0.9))[loose] + chance[votes, np.arange(votes.shape[1])].sum(1))
-        post = 1 / (1 + np.exp(np.clip(score[1] - score[0], -40, 40)))
+            # base spans and others of each kind have a share of each class of their own, and neither is taken to be rarer than one in
+            # ten, so that a corpus of plain cases leaves objections their weight, and many poor candidates of a kind don't speak against
+            # another's
+            share = (np.bincount(group, w) + 1) / (np.bincount(group, n) + 2)
+            score.append(np.log(np.clip(share, 0.1, 0.9))[group] + chance[votes, np.arange(votes.shape[1])].sum(1))
+        old, post = post, 1 / (1 + np.exp(np.clip(score[1] - score[0], -40, 40)))
+        if np.abs(post - old).max() <= still:
+            break
+    else:
+        warnings.warn(f"the labelers' reliabilities still move after {rounds} rounds", stacklevel=2)
     x = np.concatenate([votes == 2, votes == 0, [[p.startswith(k) for k in ALL_KINDS] + ["~" in p, True] for p, _ in names]], axis=1).astype(float)
     theta, weight = np.zeros(x.shape[1]), np.cbrt(n) / np.cbrt(n).sum()
     for _ in range(1500):
@@ -256,16 +287,17 @@ def chosen(base: list[str], loose: list[str], model: dict[str, float], threshold
 
 def pii(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.9) -> DataFrame:
     """Per row: base counts by kind, ``base_sha256`` of the base spans, ``spans``, base and added ones, and the number of all
-    spans and of secrets.
+    spans, of secrets and of candidates that the classifier turned down.
 
-    Null and empty texts have no spans. Repeated rows are searched one by one; spans that start together are in the order
-    of ``ALL_KINDS``. Offsets are code points, ends exclusive. Base spans always stay; the classifier decides about others.
+    Null and empty texts have no spans. Repeated rows are searched one by one; spans are joined by start, those that start together in the
+    order of ``ALL_KINDS``. Offsets are code points, ends exclusive. Base spans always stay; the classifier decides about others.
+    An added span touches no base span, but for a ``secret``, which may hold one and stands beside it.
     """
     found = checkpoint(find(docs, text, key))
     model = learn(found)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in range(9)]
         for base, loose in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             first, spans = chosen(base, loose, model, threshold)
             for k in range(4):
@@ -274,11 +306,12 @@ def pii(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: flo
             out[5].append(joined(spans))
             out[6].append(len(spans))
             out[7].append(sum(x[1] == 4 for x in spans))
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
-        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], [key, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "n_secret"])
+            out[8].append(len(base) + len(loose) - len(spans))
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 3
+        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], [key, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "n_secret", "n_rejected"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_arrow(found.select(key, "base", "loose"), run, f"`{key}` {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string, n_spans bigint, n_secret bigint")
+    return map_arrow(found.select(key, "base", "loose"), run, f"`{key}` {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string, n_spans bigint, n_secret bigint, n_rejected bigint")
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
