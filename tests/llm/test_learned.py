@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import pyarrow as pa
+import numpy as np
 import pytest
 from brute import pii as brute_pii
 
@@ -87,6 +88,25 @@ def test_a_fit_that_does_not_settle_warns():
         pii.fit([("email=+++00", 9), ("card~0-+00", 4), ("phone~0+000", 3)], rounds=1)
 
 
+def test_features_are_counted_once_a_row_and_the_descent_settles(spark):
+    words = spark.createDataFrame([(1, ["idiots", "idiot"]), (1, ["fool"]), (0, ["idiom", "fool"]), (0, []), (0, None)], "label int, words array<string>").na.fill({"label": 0})
+    words = words.selectExpr("label", "coalesce(words, array()) AS words")
+    got = {r.feature: (r.toxic, r.clean) for r in toxicity.feature_counts(words).collect()}
+    want: dict = {}
+    for label, row in ((1, ["idiots", "idiot"]), (1, ["fool"]), (0, ["idiom", "fool"])):
+        for f in {f for w in row for f in toxicity.features_of(w)}:
+            a, b = want.get(f, (0, 0))
+            want[f] = (a + label, b + 1 - label)
+    assert got == want and got["^idi"] == (1, 1)
+    rng = np.random.default_rng(3)
+    x = (rng.random((400, 6)) < 0.2) * rng.random((400, 6))
+    y = (x @ np.array([4.0, 3, -2, 0, 1, 0]) > 0.5).astype(float)
+    row, col = np.nonzero(x)
+    w, b = toxicity.logistic(row, col, x[row, col], y, 6, l2=0.01, rounds=3000)
+    r = (1 / (1 + np.exp(-x @ w - b)) - y) / len(y)
+    assert abs(r.sum()) < 1e-4 and np.abs(x.T @ r + 0.01 * w).max() < 1e-4
+
+
 def test_redaction(spark):
     df = docs(spark, [(1, "to me@site.com now", "k"), (2, None, "k")], "doc_id long, text string, base string")
     got = {r.doc_id: (r.text, r.base) for r in pii.redact(df).collect()}

@@ -8,11 +8,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, U, Words, map_arrow, text_bytes
+from .common import SPACE, U, Words, checkpoint, map_arrow, text_bytes
 
 #: Symbols of the language model: word end, a to z, any other letter.
 N = 28
@@ -210,13 +211,36 @@ def train_rows(labels: DataFrame, rows: int, key: str = "doc_id", label: str = "
     return one.groupBy("__key").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__key"), "__key").limit(rows)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 10_000, max_features: int = 1_000, text: str = "text", key: str = "doc_id") -> ToxicModel:
-    """A character model from all rows' texts and a classifier from at most ``rows`` labelled ones. Its inputs are the
-    ``max_features`` restored words and beginnings that tell most (count times log odds); more of them change the score little
-    and make the driver's table of ``rows`` by ``max_features`` floats larger.
+def feature_counts(words: DataFrame) -> DataFrame:
+    """(feature, toxic, clean): in how many of the sampled rows of each label a feature is."""
 
-    The driver gets 28^3 counts and the distinct words of the sampled rows. The sample's keys are broadcast; ``rows`` bounds
-    them. Without labelled rows, or with one class alone, the score is the smoothed share of toxic labels.
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        seen: tuple[Counter, Counter] = Counter(), Counter()
+        memo: dict[str, list[str]] = {}
+        for label, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            mine: set[str] = set()
+            for w in row:
+                if w not in memo:
+                    memo[w] = features_of(w)
+                mine.update(memo[w])
+            seen[label > 0].update(mine)
+        clean, toxic = seen
+        names = list(clean.keys() | toxic.keys())
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in (toxic, clean))], ["feature", "toxic", "clean"])
+
+    each = map_arrow(words.select("label", "words"), run, "feature string, toxic bigint, clean bigint")
+    return each.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = 10_000, max_features: int | None = 1_000, share: float = 0.003, odds: float = 2.0, text: str = "text", key: str = "doc_id") -> ToxicModel:
+    """A character model from all rows' texts and a classifier from at most ``rows`` labelled ones. Its inputs are
+    restored words and beginnings that are in a ``share`` of the sampled toxic rows (two at least) and more than ``odds`` times as often in
+    those as in others: the ``max_features`` of them that tell most (count times log odds), or all if that is None. At sf0.1, 1,000 find
+    91 of 97 held-out toxic documents without a false alarm, all 15,961 of them 90 with one.
+
+    Features are counted and chosen by an aggregate. The driver gets 28^3 counts, the chosen features and each sampled row's counts
+    of them; chosen features are at most a toxic row's mean number of distinct ones divided by ``share``. The sample's keys are
+    broadcast; ``rows`` bounds them. Without labelled rows, or with one class alone, the score is the smoothed share of toxic labels.
     """
     lm = CharModel.of([(r[0], r[1]) for r in trigram_counts(docs, text).collect()])
     sample = docs.select(key, text).join(F.broadcast(train_rows(labels, rows, key)), F.col(key) == F.col("__key")).select(F.col("__label").alias("label"), text)
@@ -228,62 +252,64 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 10_000, max_features:
             each[d][meaning[s]] += 1
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c.keys()) for c in each], pa.list_(pa.string())), pa.array([list(c.values()) for c in each], pa.list_(pa.int32()))], ["label", "words", "counts"])
 
-    got = map_arrow(sample, run, "label int, words array<string>, counts array<int>", text, lambda: Reader(lm)).toArrow()
-    y = np.array(got.column("label").to_pylist(), float)
-    bias = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else -2.0
-    if not len(y) or y.min() == y.max():
+    words = checkpoint(map_arrow(sample, run, "label int, words array<string>, counts array<int>", text, lambda: Reader(lm)))
+    n = {r[0] > 0: r[1] for r in words.groupBy("label").count().collect()}
+    toxic, clean = n.get(True, 0), n.get(False, 0)
+    bias = math.log((toxic + 0.5) / (clean + 0.5)) if n else -2.0
+    if not toxic or not clean:
         return ToxicModel(lm, {}, np.zeros(0), bias)
-    # beginnings are kept for words of toxic rows alone, so the driver's tables stay small next to the sample
-    words, often = got.column("words"), got.column("counts")
-    toxic, clean = Counter(), Counter()
-    for i in np.flatnonzero(y > 0):
-        toxic.update({f for w in words[int(i)].as_py() for f in features_of(w)})
-    least, nt, nc = max(2, int(0.003 * y.sum())), y.sum(), len(y) - y.sum()
-    toxic = Counter({f: n for f, n in toxic.items() if n >= least})
-    memo: dict[str, tuple[str, ...]] = {}
-
-    def known(w: str) -> tuple[str, ...]:
-        f = memo.get(w)
-        if f is None:
-            f = memo[w] = tuple(x for x in features_of(w) if x in toxic)
-        return f
-
-    for i in np.flatnonzero(y == 0):
-        clean.update({f for w in words[int(i)].as_py() for f in known(w)})
-    gain = {f: n * math.log((n + 0.5) / (nt + 1) / ((clean[f] + 0.5) / (nc + 1))) for f, n in toxic.items() if (n + 0.5) / (nt + 1) > 2 * (clean[f] + 0.5) / (nc + 1)}
-    ids = {f: i for i, f in enumerate(sorted(gain, key=lambda f: (-gain[f], f))[:max_features])}
+    often = (F.col("toxic") >= max(2, share * toxic)) & ((F.col("toxic") + 0.5) / (toxic + 1) > odds * (F.col("clean") + 0.5) / (clean + 1))
+    gain = F.col("toxic") * F.log((F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1)))
+    best = feature_counts(words).where(often).orderBy(gain.desc(), "feature").select("feature")
+    ids = {r[0]: i for i, r in enumerate((best if max_features is None else best.limit(max_features)).collect())}
     if not ids:
         return ToxicModel(lm, {}, np.zeros(0), bias)
-    row, col, val = [], [], []
-    for i in range(len(y)):
-        c: Counter = Counter()
-        for w, n in zip(words[i].as_py(), often[i].as_py(), strict=True):
-            for f in known(w):
-                if f in ids:
-                    c[ids[f]] += n
-        row += [i] * len(c)
-        col += c.keys()
-        val += c.values()
-    x = np.zeros((len(y), len(ids)), np.float32)
-    x[row, col] = np.log1p(np.array(val, np.float32))
-    weights, bias = logistic(x, y)
+
+    def known(b: pa.RecordBatch) -> pa.RecordBatch:
+        each = []
+        memo: dict[str, list[int]] = {}
+        for names, often in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            c: Counter = Counter()
+            for w, k in zip(names, often, strict=True):
+                if w not in memo:
+                    memo[w] = [ids[f] for f in features_of(w) if f in ids]
+                for i in memo[w]:
+                    c[i] += k
+            each.append(c)
+        kind = pa.list_(pa.int32())
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c.keys()) for c in each], kind), pa.array([list(c.values()) for c in each], kind)], ["label", "ids", "counts"])
+
+    got = map_arrow(words, known, "label int, ids array<int>, counts array<int>").toArrow().combine_chunks()
+    y = (got.column("label").to_numpy() > 0).astype(float)
+    size = np.array(pc.list_value_length(got.column("ids")))
+    col, val = (np.array(pc.list_flatten(got.column(c))) for c in ("ids", "counts"))
+    weights, bias = logistic(np.repeat(np.arange(len(y)), size), col, np.log1p(val), y, len(ids))
     return ToxicModel(lm, ids, weights, bias)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 5e-5, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Full-batch Nesterov descent; only rows with a feature differ, so the others are folded into one weighted row."""
-    some = x.any(1)
-    xs = np.vstack([x[some], np.zeros((1, x.shape[1]), x.dtype)])
-    none = ~some
-    ys = np.append(y[some], y[none].mean() if none.any() else 0.0)
-    ws = np.append(np.ones(some.sum()), none.sum()) / len(y)
-    w, b = np.zeros(x.shape[1]), math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
+def logistic(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, width: int, l2: float = 5e-5, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Full-batch Nesterov descent over the entries (row, col, val) of a sparse matrix with ``width`` columns; few rows have any."""
+    n = len(y)
+    some, at = np.unique(row, return_inverse=True)
+    times = lambda v: np.bincount(at, val * v[col], minlength=len(some))
+    back = lambda r: np.bincount(col, val * r[at], minlength=width)
+    # the step that the largest eigenvalue allows, by power iteration; the constant column adds one at most
+    v = np.ones(width)
+    top = 0.0
+    for _ in range(30):
+        v = back(times(v)) / n
+        top = float(np.linalg.norm(v))
+        if not top:
+            break
+        v /= top
+    step = 1 / (0.25 * (1.05 * top + 1) + l2)
+    ys, none, share = y[some], n - len(some), (y.sum() - y[some].sum())
+    w, b = np.zeros(width), math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
     mw, mb = w.copy(), b
-    step = 4.0 / max(1.0, float((xs**2).sum(1).mean()))
     for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(xs @ mw.astype(np.float32) + mb, -50, 50)))
-        r = ws * (p - ys)
-        nw, nb = mw - step * 10 * (r.astype(np.float32) @ xs + l2 * mw), mb - step * 10 * r.sum()
+        r = (1 / (1 + np.exp(-np.clip(times(mw) + mb, -50, 50))) - ys) / n
+        rest = (none / (1 + math.exp(-min(max(mb, -50), 50))) - share) / n
+        nw, nb = mw - step * (back(r) + l2 * mw), mb - step * (r.sum() + rest)
         t = k / (k + 3)
         mw, mb = nw + t * (nw - w), nb + t * (nb - b)
         w, b = nw, nb
