@@ -46,9 +46,11 @@ KEY_FORMS = {
 HEX = re.compile(r"[0-9a-fA-F]{32}[0-9a-fA-F]*+")
 #: Candidates that only their surroundings can tell: numbers grouped or as long as a card's, whatever their check digit, bare numbers as
 #: long as a national phone number, and long words of letters and digits.
-CARDLIKE = re.compile(r"(?<![0-9.,-])(?:[0-9]{13,19}|[0-9]{4}([ ./_-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ ./_-])[0-9]{6}\2[0-9]{5})(?![0-9])")
-BARE_PHONE = re.compile(r"(?<![0-9A-Za-z.,+_/:=-])[0-9]{9,11}(?![0-9A-Za-z_/-]|[.,:][0-9])")
-BARE_KEY = re.compile(r"(?<![A-Za-z0-9_/+.-])[A-Za-z0-9_-]{16}[A-Za-z0-9_-]*+(?![/+.][A-Za-z0-9])")
+CARDLIKE = re.compile(r"[0-9](?<![0-9.,-].)(?:[0-9]{12,18}|[0-9]{3}([ ./_-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{3}([ ./_-])[0-9]{6}\2[0-9]{5})(?![0-9])")
+BARE_PHONE = re.compile(r"[0-9](?<![0-9A-Za-z.,+_/:=-].)[0-9]{8,10}(?![0-9A-Za-z_/-]|[.,:][0-9])")
+DIGIT, WORD = re.compile(r"[0-9]"), re.compile(r"[A-Za-z0-9_-]*+")
+WORD_CHARS = LOCAL - frozenset(".%+")
+PATH_GOES_ON = re.compile(r"[/+.][A-Za-z0-9]")
 BARE_HEX = re.compile(r"[0-9a-fA-F]+")
 #: Values that stand for a secret in manuals.
 PLACEHOLDER = re.compile(r"(?i)example|changeme|your[_-]|placeholder|redacted|dummy|xxxx|\*\*\*|\$\{|<")
@@ -126,7 +128,21 @@ def secrets(text: str) -> Iterator[tuple[int, int]]:
         if begin in text:
             yield from (m.span() for m in form.finditer(text))
     yield from (m.span() for m in HEX.finditer(text))
-    yield from (m.span() for m in BARE_KEY.finditer(text) if bare_key(m.group()))
+    yield from bare_keys(text)
+
+
+def bare_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Words that may be keys, found from their first digit outwards; parts of paths and addresses are none."""
+    done = 0
+    for m in DIGIT.finditer(text):
+        start = m.start()
+        if start < done:
+            continue
+        done = WORD.match(text, start).end()
+        while start and text[start - 1] in WORD_CHARS:
+            start -= 1
+        if done - start >= 16 and text[max(0, start - 1) : start] not in ("/", "+", ".") and not PATH_GOES_ON.match(text, done) and bare_key(text[start:done]):
+            yield start, done
 
 
 def bare_key(s: str) -> bool:
