@@ -2,7 +2,9 @@
 
 import math
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from brute import near, repeats, shingles
@@ -91,6 +93,24 @@ def test_pairs_of_frequent_passages_are_linked(spark, monkeypatch):
     assert not lost
 
 
+def test_no_shuffle_file_outlives_its_step(spark, crowd):
+    """Each step ends in a checkpoint; on many partitions the files of all steps together filled the disk."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    kept = lambda: {p for d in folders for p in Path(d).glob("*/shuffle_*")}
+    before, setting = kept(), spark.conf.get(key)
+    lazy = jaccard.near_duplicates(docs(spark, crowd))
+    for _ in range(50):  # files are removed in the background
+        left = kept() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(key) == setting
+    assert sorted(map(tuple, lazy.collect())) == near(crowd)
+    assert sorted(map(tuple, lazy.collect())) == near(crowd)
+
+
 def test_one_of_each_keeps_other_columns(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(1, text, "a"), (2, text + " end", "b"), (3, "quite another text of its own", "c"), (3, "quite another text of its own", "c"), (4, None, "d"), (5, None, "e")]

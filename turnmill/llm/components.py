@@ -27,11 +27,11 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         if not left:
             raise RuntimeError(f"components: not done after {rounds} rounds")
         seen = mark
-        both = now.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(now.select(F.col("hi").alias("a"), F.col("lo").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("hi"), F.col("m").alias("lo")).where("lo < hi")
-        root = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(root, "hi").select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("hi")), F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")))).alias("e"))
+        # a node's least neighbour, if less than itself, is at the other end of an edge that ends in it
+        least = now.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"))
+        large = now.join(least, F.col("lo") == F.col("node"), "left").select("hi", F.coalesce("m", "lo").alias("lo"))
+        root = large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"))
+        small = large.join(root, F.col("hi") == F.col("node")).select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("hi")), F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")))).alias("e"))
         now = checkpoint(small.select("e.lo", "e.hi").where("lo < hi").distinct())
     tree = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("component"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, apply, checkpoint, dealt, lists, map_arrow, mix, signed
+from .common import U, Words, apply, brief_shuffles, checkpoint, dealt, lists, map_arrow, mix, signed
 from .components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -305,7 +305,7 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
     large = large.withColumn("used", F.array("path"))
     kind = pa.list_(pa.int64())
     for depth in range(1, DEPTH + 1):
-        if large.isEmpty():
+        if not large.select("path").take(1):  # isEmpty would shuffle
             break
         large = large.join(sketches, "set")
         one = F.struct("set", "size", "sketch")
@@ -393,16 +393,8 @@ def token_sets(docs: DataFrame, needed: DataFrame, text: str, key: str) -> DataF
     return map_arrow(joined, run, "family bigint, blocks int, set bigint, copies bigint, tokens array<bigint>", "text").dropDuplicates(["set"])
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR, runs: int = RUNS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, class_id, n_links) of every row: Jaccard similarity of five-word shingle sets of at least ``similar`` links.
-
-    Sets are joined by chosen paths over sampled tokens, then all pairs inside a family of candidates are checked exactly in
-    blocks, so links are exact there; a pair is missed only if no run brings it together or its sketches' estimate is under ``NEAR``
-    (by a binomial model about 3 in 10^4 at the threshold). A class is a connected component of links, named by its least key; ``n_links`` counts the other rows
-    that a row links to. A text under five words is one shingle of all its words. Null and empty texts have no shingles:
-    each such row is a class of its own without links. Equal texts are linked, repeated rows too. Copies share one set, so
-    they cost one row. An empty table gives an empty result.
-    """
+def named_sets(docs: DataFrame, similar: float, runs: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(id, set, size, sketch) of each row and (set, copies, rep, links, class) of each set, both checkpointed."""
     sig = checkpoint(signatures(docs, runs, text, key))
     some = sig.where("size > 0")
     sets = checkpoint(some.groupBy("set").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
@@ -416,11 +408,26 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, runs: int = RUNS,
     exact = checkpoint(apply(grouped, stream(["family", "lo", "hi"], checked(similar)), "set bigint, links bigint, class bigint, to array<bigint>"))
     linked = exact.groupBy("set").agg(F.sum("links").alias("links"), F.min("class").alias("class"))
     edges = exact.where(F.size("to") > 0).select(F.col("set").alias("a"), F.explode("to").alias("b"))
-    if not edges.isEmpty():
+    if edges.take(1):
         big = components(edges)
         linked = linked.join(big.withColumnRenamed("node", "set"), "set", "left").select("set", "links", F.coalesce("component", "class").alias("class"))
     named = sets.select("set", "copies", "rep").join(linked, "set", "left").select("set", "copies", "rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class", "set").alias("class"))
-    named = checkpoint(named)
+    return sig, checkpoint(named)
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR, runs: int = RUNS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, class_id, n_links) of every row: Jaccard similarity of five-word shingle sets of at least ``similar`` links.
+
+    Sets are joined by chosen paths over sampled tokens, then all pairs inside a family of candidates are checked exactly in
+    blocks, so links are exact there; a pair is missed only if no run brings it together or its sketches' estimate is under ``NEAR``
+    (by a binomial model about 3 in 10^4 at the threshold). A class is a connected component of links, named by its least key; ``n_links`` counts the other rows
+    that a row links to. A text under five words is one shingle of all its words. Null and empty texts have no shingles:
+    each such row is a class of its own without links. Equal texts are linked, repeated rows too. Copies share one set, so
+    they cost one row. An empty table gives an empty result.
+    """
+    with brief_shuffles(docs.sparkSession):
+        sig, named = named_sets(docs, similar, runs, text, key)
+    some = sig.where("size > 0")
     least = named.groupBy("class").agg(F.min("rep").alias("class_id"))
     out = some.select(F.col("id"), "set").join(named.join(least, "class").select("set", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "set")
     empty = sig.where("size = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
